@@ -125,4 +125,7 @@ def with_ctes(sql: str, *names: str, extra: dict[str, str] | None = None) -> str
     """Prefix ``sql`` with the fixtures it reads, plus extra named CTEs."""
     parts = [f"{n} AS ({cte(n)})" for n in names]
     parts += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+    body = sql.lstrip()
+    if parts and body[:5].upper() == "WITH ":  # merge the query's own CTEs
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return ("WITH " + ",\n".join(parts) + "\n" + sql) if parts else sql
