@@ -89,8 +89,9 @@ def upsert(
     for c in missing:
         target = target.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
 
+    okey = list(order) + ([id_col] if id_col not in order else [])
     bk = batch.groupBy(*keys).agg(
-        F.max_by(F.struct(*written), F.struct(*order, id_col)).alias("_v"),
+        F.max_by(F.struct(*written), F.struct(*okey)).alias("_v"),
         F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_first"),
     )
     tk = target.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
