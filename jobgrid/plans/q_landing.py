@@ -31,11 +31,16 @@ def _ts(df):
 # ---- oracle CTEs --------------------------------------------------------------------
 
 _LAND = {
-    "lr": "SELECT *, concat(CAST(scraped_date AS varchar), '/', substr(job_id, 1, 1)) AS run_id FROM listings",
+    "sk": """SELECT CASE WHEN n <= g * 25 THEN 0 WHEN n <= g * 25 * 16 THEN 1 WHEN n <= g * 25 * 256 THEN 2 ELSE 3 END AS k
+             FROM (SELECT count(*) AS n, count(DISTINCT (source, substr(CAST(scraped_date AS varchar), 1, 7), page)) AS g
+                   FROM listings) c""",
+    "lr0": """SELECT l.*, concat(substr(CAST(scraped_date AS varchar), 1, 7), '/', substr(job_id, 1, sk.k)) AS run_id
+              FROM listings l, sk""",
+    "lr": "SELECT *, min(scraped_date) OVER (PARTITION BY run_id, source, page) AS run_day FROM lr0",
     "win": """SELECT DISTINCT run_id, source, page, CASE WHEN page = 4 THEN 500 ELSE 200 END AS status FROM lr
               WHERE page >= 1 AND page <= CASE source WHEN 'Internshala' THEN 5 WHEN 'Unstop' THEN 10
                     WHEN 'Naukri' THEN 5 WHEN 'Indeed' THEN 25 ELSE page END""",
-    "bad": """SELECT *, (page = 4 OR (source = 'Naukri' AND page = 2 AND run_id LIKE '%/f')) AS bad FROM win""",
+    "bad": """SELECT *, (page = 4 OR (source = 'Naukri' AND page = 2 AND run_id LIKE '%-03/%')) AS bad FROM win""",
     "fb": """SELECT run_id, source, min(page) AS stop FROM bad WHERE bad AND source IN ('Indeed', 'LinkedIn')
              GROUP BY run_id, source""",
     "kept": """SELECT b.run_id, b.source, b.page, b.status FROM bad b LEFT JOIN fb USING (run_id, source)
@@ -47,7 +52,7 @@ _LAND = {
 
 _NULL = "CAST(NULL AS varchar)"
 _DAY = "CAST(scraped_date AS varchar)"
-_AT = f"{_DAY} || ' 06:00:00' AS scraped_at"
+_AT = "CAST(run_day AS varchar) || ' 06:00:00' AS scraped_at"
 
 
 def _cols(job_url: str, title="title", company="company", location="location", stipend=_NULL, duration=_NULL,

@@ -77,3 +77,18 @@ def is_local_path(p: str) -> bool:
 def ensure_parent(p: str) -> None:
     if is_local_path(p):
         os.makedirs(p.replace("file:", ""), exist_ok=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an under-split scan over the cluster's cores.
+
+    A file that is one Parquet row group (or an unsplittable format) is read
+    by one task, and every narrow step after it runs serially until the first
+    shuffle.  When the scan has fewer partitions than the default parallelism,
+    a round-robin repartition spreads it; a normally split table (many files
+    or row groups) is returned unchanged, with no extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+

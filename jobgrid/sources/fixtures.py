@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobgrid.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -88,8 +90,13 @@ FIXTURES = {
 }
 
 
+# Tables small enough to stay one partition (joined by broadcast anyway).
+_DIMENSIONS = {"region", "nation", "supplier", "part", "customer", "benchmark", "labels"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df if name in _DIMENSIONS else spread(df)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -111,18 +111,37 @@ def _el(tag: str, attrs: str, v: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"<{tag}{attrs}>"), _esc(v), F.lit(f"</{tag}>")), F.lit(""))
 
 
-def run_id_expr(shard_chars: int = 1) -> Column:
-    d = F.col("scraped_date").cast("string")
-    if shard_chars <= 0:
-        return d
-    return F.concat(d, F.lit("/"), F.substring("job_id", 1, shard_chars))
-
-
-def build_landing(listings: DataFrame, shard_chars: int = 1) -> DataFrame:
-    """Wrap fixture listings back into each source's response pages."""
-    base = listings.withColumn("run_id", run_id_expr(shard_chars))
+PAGE_SIZE = 25  # records per fixture body, the page size of the sources
+
+
+def shard_chars(listings: DataFrame, page_size: int = PAGE_SIZE) -> int:
+    """Hex digits of ``job_id`` that split a (source, month, page) group into
+    bodies of at most ``page_size`` records on average: 0, 1 (16 shards),
+    2 (256), ...  One aggregate, one number to the driver."""
+    row = listings.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("source", F.substring(F.col("scraped_date").cast("string"), 1, 7), "page").alias("g"),
+    ).first()
+    n, g = int(row["n"]), max(int(row["g"]), 1)
+    k = 0
+    while n > g * page_size * (16**k):
+        k += 1
+    return k
+
+
+def run_id_expr(k: int) -> Column:
+    month = F.substring(F.col("scraped_date").cast("string"), 1, 7)
+    return F.concat(month, F.lit("/"), F.substring("job_id", 1, k))
+
+
+def build_landing(listings: DataFrame, k: int | None = None) -> DataFrame:
+    """Wrap fixture listings back into each source's response pages: one run
+    per month (and job-id shard), one body per (run, source, page)."""
+    k = shard_chars(listings) if k is None else k
+    base = listings.withColumn("run_id", run_id_expr(k))
     rec = F.struct(
         "job_id", "title", "company", "location", "stipend", "duration", "job_url",
+        F.col("scraped_date").cast("string").alias("day"),
         F.split_part("location", F.lit(", "), F.lit(1)).alias("loc1"),
         F.split_part("location", F.lit(", "), F.lit(2)).alias("loc2"),
     )
@@ -130,7 +149,7 @@ def build_landing(listings: DataFrame, shard_chars: int = 1) -> DataFrame:
         F.sort_array(F.collect_list(rec)).alias("recs"), F.min("scraped_date").alias("day")
     )
     p = F.col("page")
-    day = F.col("day").cast("string")
+    day = F.col("day").cast("string")  # the run's fetch day: first day of the group
 
     # Naukri: {"results": [...]}; company an object on odd pages, location on pages 3, 6.
     def naukri(obj_company: bool, obj_location: bool) -> Column:
@@ -140,7 +159,7 @@ def build_landing(listings: DataFrame, shard_chars: int = 1) -> DataFrame:
             return F.struct(
                 r["job_id"].alias("id"), r["title"].alias("title"), company.alias("company"),
                 location.alias("location"), r["job_url"].alias("redirect_url"),
-                F.concat(day, F.lit("T00:00:00Z")).alias("created"),
+                F.concat(r["day"], F.lit("T00:00:00Z")).alias("created"),
                 F.concat(F.lit("Role: "), r["title"]).alias("description"),
             )
         return F.to_json(F.struct(F.transform("recs", one).alias("results")))
@@ -151,9 +170,9 @@ def build_landing(listings: DataFrame, shard_chars: int = 1) -> DataFrame:
         .when(p % 3 == 0, naukri(False, True))
         .otherwise(naukri(False, False))
     )
-    # a malformed body (fixture: run shard 'f', page 2) is a failed page
+    # a malformed body (fixture: March runs, page 2) is a failed page
     naukri_body = F.when(
-        F.col("run_id").endswith("/f") & (p == 2), F.substring(naukri_body, 1, 20)
+        F.col("run_id").contains("-03/") & (p == 2), F.substring(naukri_body, 1, 20)
     ).otherwise(naukri_body)
 
     # Unstop: data.data[] (odd pages) / data[] (page 2) / records[] (page 6)
@@ -193,7 +212,7 @@ def build_landing(listings: DataFrame, shard_chars: int = 1) -> DataFrame:
             F.when(p != 2, r["loc1"]).alias("job_city"),
             F.when(p.isin(1, 5), r["loc2"]).alias("job_state"),
             F.when(p == 3, F.lit("IN")).alias("job_country"),
-            F.when(p != 6, F.concat(day, F.lit("T08:00:00.000Z"))).alias("job_posted_at_datetime_utc"),
+            F.when(p != 6, F.concat(r["day"], F.lit("T08:00:00.000Z"))).alias("job_posted_at_datetime_utc"),
             lo.alias("job_min_salary"),
             F.when(p.isin(1, 2, 5), p * 150000).alias("job_max_salary"),
             F.when(p != 2, F.lit("YEAR")).alias("job_salary_period"),
