@@ -14,14 +14,22 @@ from jobgrid.operators import normalize as N
 from jobgrid.plans.catalog import register, sql_strip
 from jobgrid.sources import fixtures as fx
 from jobgrid.sources import html as H
-from jobgrid.sources.landing import build_landing, scan_landing, source_config
+from jobgrid.sources.landing import LANDING_SCHEMA, build_landing, scan_landing, source_config
 
 SOURCES = ("Internshala", "Unstop", "Naukri", "Indeed", "LinkedIn")
 
 
+def landing_pages(spark, d):
+    """Landing pages derived from the listing fixture, stored once per session
+    like crawler output (Parquet partitioned by source)."""
+    return fx.stored(spark, ("landing", d), lambda: build_landing(fx.listings(spark, d)), "source").select(
+        *LANDING_SCHEMA.fieldNames()
+    )
+
+
 def landing(spark, d):
-    """Windowed landing pages derived from the listing fixture."""
-    return scan_landing(build_landing(fx.listings(spark, d)), source_config(spark))
+    """Windowed landing pages."""
+    return scan_landing(landing_pages(spark, d), source_config(spark))
 
 
 def _ts(df):

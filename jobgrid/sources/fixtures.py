@@ -12,7 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobgrid.session import spread
+from jobgrid.session import scratch_path, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -99,12 +99,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if name in _DIMENSIONS else spread(df)
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture_plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture as a lazy DataFrame over the raw tables."""
     text, deps = FIXTURES[name]
     return spark.sql(text, **{t: read_table(spark, sf_dir, t) for t in deps})
 
 
+# Listings are stored like the product's snapshot: partitioned by source.
+_PARTITION_BY = {"listings": "source"}
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, key: tuple, build, partition_by: str | None = None) -> DataFrame:
+    """Materialise ``build()`` once per session into the shared folder and
+    read it back: a table derived from the given tables, written the way the
+    engine stores its own tables (several files, optionally partitioned)."""
+    k = (spark.sparkContext.applicationId, *key)
+    path = _STORED.get(k)
+    if path is None:
+        df = build()
+        path = scratch_path(spark, "table-" + "-".join(str(x).strip("/").replace("/", "_") for x in key))
+        w = df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        _STORED[k] = path
+    return spark.read.parquet(path)
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The named fixture, materialised once per session (see ``stored``)."""
+    plan = fixture_plan(spark, sf_dir, name)
+    cols = plan.columns
+    return stored(spark, ("fx", sf_dir, name), lambda: plan, _PARTITION_BY.get(name)).select(*cols)
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "listings")
 
