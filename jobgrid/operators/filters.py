@@ -70,7 +70,9 @@ def list_predicate(source=None, location=None, type=None, search=None, mode="reg
         )
         if p is not None
     ]
-    return F.coalesce(reduce(lambda a, b: a & b, preds, F.lit(True)), F.lit(False))
+    # a null predicate drops the row, as false does: no coalesce, so plain
+    # comparisons stay pushable to the scan
+    return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
 
 
 def with_type(df: DataFrame) -> DataFrame:

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIELDS = ("title", "company", "location")
 
@@ -61,24 +63,35 @@ def query_hits(listings: DataFrame, qs: DataFrame, literal_max: int = 512) -> Da
     return _theta(listings, distinct, n, literal_max)
 
 
+def _check_patterns(qs: pd.Series) -> pd.Series:
+    """Pattern check over the distinct query texts (never per listing)."""
+    return qs.map(lambda q: q is not None and _valid(q))
+
+
 def _theta(listings: DataFrame, distinct: DataFrame, n: int, chunk: int) -> DataFrame:
+    """Theta join against broadcast chunks of at most ``chunk`` queries."""
     n_chunks = -(-n // chunk)
-    qd = distinct.filter(F.col("q").isNotNull()).withColumn("_chunk", F.pmod(F.xxhash64("q"), F.lit(n_chunks)))
+    qd = (
+        distinct.filter(F.col("q").isNotNull())
+        .withColumn("_ok", F.pandas_udf(_check_patterns, T.BooleanType())("q"))
+        .withColumn("_chunk", F.pmod(F.xxhash64("q"), F.lit(n_chunks)))
+    )
     lst = listings.select(*FIELDS)
     total = lst.agg(F.count(F.lit(1)).alias("n")).scalar()
+    pat = F.concat(F.lit("(?iu)"), F.col("q"))
+    cond = F.rlike("title", pat) | F.rlike("company", pat) | F.rlike("location", pat)
     out = None
     for c in range(n_chunks):
-        part = qd.filter(F.col("_chunk") == c).select("q")
-        pat = F.concat(F.lit("(?iu)"), F.col("q"))
-        cond = (F.col("title").rlike(pat)) | (F.col("company").rlike(pat)) | (F.col("location").rlike(pat))
-        hits = (
-            lst.join(F.broadcast(part.filter(F.col("q") != "")), cond, "inner")
-            .groupBy("q")
-            .agg(F.count(F.lit(1)).alias("results"))
-        )
+        part = qd.filter(F.col("_chunk") == c)
+        probe = F.broadcast(part.filter((F.col("q") != "") & F.col("_ok")).select("q"))
+        hits = lst.join(probe, cond, "inner").groupBy("q").agg(F.count(F.lit(1)).alias("results"))
         res = part.join(hits, "q", "left").select(
             "q",
-            F.when(F.col("q") == "", total).otherwise(F.coalesce("results", F.lit(0))).cast("bigint").alias("results"),
+            F.when(~F.col("_ok"), F.lit(None))
+            .when(F.col("q") == "", total)
+            .otherwise(F.coalesce("results", F.lit(0)))
+            .cast("bigint")
+            .alias("results"),
         )
         out = res if out is None else out.unionByName(res)
     return out
