@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -30,9 +31,15 @@ class Node:
     attrs: dict
     parent: "Node | None" = None
     children: list = field(default_factory=list)
+    cls: frozenset = field(default=frozenset())
+
+    def __post_init__(self):
+        c = self.attrs.get("class")
+        if c:
+            self.cls = frozenset(c.split())
 
     def classes(self) -> list[str]:
-        return (self.attrs.get("class") or "").split()
+        return sorted(self.cls)
 
 
 class _Builder(HTMLParser):
@@ -71,7 +78,8 @@ def parse(html: str) -> Node:
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)\]")
 
 
-def _compile(sel: str) -> list[tuple]:
+@lru_cache(maxsize=256)
+def _compile(sel: str) -> tuple:
     steps = []
     for part in sel.split():
         tag, classes, ids, attrs = None, [], [], []
@@ -91,15 +99,15 @@ def _compile(sel: str) -> list[tuple]:
                 attrs.append(a)
         if pos != len(part):
             raise ValueError(f"unsupported selector {sel!r}")
-        steps.append((tag, tuple(classes), tuple(ids), tuple(attrs)))
-    return steps
+        steps.append((tag, frozenset(classes), tuple(ids), tuple(attrs)))
+    return tuple(steps)
 
 
 def _match(n: Node, step) -> bool:
     tag, classes, ids, attrs = step
     if tag and n.tag != tag:
         return False
-    if classes and not set(classes) <= set(n.classes()):
+    if classes and not classes <= n.cls:
         return False
     if ids and n.attrs.get("id") not in ids:
         return False
@@ -114,11 +122,12 @@ def _descendants(n: Node):
         stack.extend(reversed([c for c in x.children if isinstance(c, Node)]))
 
 
-def select(root: Node, sel) -> list[Node]:
-    """All descendants of ``root`` matching the selector, document order."""
+def select(root: Node, sel, nodes: list | None = None) -> list[Node]:
+    """All descendants of ``root`` matching the selector, document order.
+    ``nodes`` may pass the descendants already listed (one walk per card)."""
     steps = _compile(sel) if isinstance(sel, str) else sel
     out = []
-    for n in _descendants(root):
+    for n in (nodes if nodes is not None else _descendants(root)):
         if not _match(n, steps[-1]):
             continue
         i, p = len(steps) - 2, n.parent
@@ -161,11 +170,13 @@ class Field:
     contains: str | None = None
 
 
-def _extract(card: Node, f: Field):
+def _extract(card: Node, f: Field, nodes: list | None = None):
+    if nodes is None:
+        nodes = list(_descendants(card))
     if f.kind == "texts":
-        return [text(x) for x in select(card, f.selectors[0])]
+        return [text(x) for x in select(card, f.selectors[0], nodes)]
     for sel in f.selectors:
-        found = select(card, sel)
+        found = select(card, sel, nodes)
         if f.kind == "attr":
             if f.contains is None:  # the first match only, like select_one
                 found = found[:1]
@@ -214,7 +225,8 @@ def html_cards(pages: DataFrame, container: str, fields: dict[str, Field], body:
                         out[name].append(None)
                 for pos, card in enumerate(found):
                     try:
-                        vals = [_extract(card, f) for _, f in fspecs]
+                        nodes = list(_descendants(card))
+                        vals = [_extract(card, f, nodes) for _, f in fspecs]
                     except Exception:  # noqa: BLE001 - a bad card is skipped
                         continue
                     for k in keys:
