@@ -99,21 +99,32 @@ def upsert(
         F.col("b._v").alias("_v"), F.col("b._first").alias("_first"), F.col("t._t").alias("_t")
     )
 
-    updates = m.filter(F.col("_t").isNotNull()).select(F.col("_t._id").alias(id_col), "_v")
-    patched = target.join(updates, id_col, "left").select(
-        *[
-            F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c)
-            if c in written
-            else F.col(c)
-            for c in target.columns
-        ]
+    # One full outer join does both halves: a matched key carries the target
+    # row's id (flag true) and meets that row; an unmatched key carries its
+    # own first batch id (flag false), meets nothing and becomes the insert.
+    # Inserts are spread by their own id, never gathered on a null key.
+    matched = F.col("_t").isNotNull()
+    m = m.select(
+        F.when(matched, F.col("_t._id")).otherwise(F.col("_first._id")).alias("_mid"),
+        matched.alias("_mflag"),
+        "_v",
+        "_first",
     )
-    inserts = m.filter(F.col("_t").isNull()).select(
-        F.col("_first._id").alias(id_col),
-        *[F.col(f"_first.{c}").alias(c) for c in order if c != id_col],
-        *[F.col(f"_v.{c}").alias(c) for c in written],
-    )
-    return patched.unionByName(inserts, allowMissingColumns=True)
+    t = target.withColumn("_tflag", F.lit(True))
+    j = t.join(m, (t[id_col] == m["_mid"]) & (t["_tflag"] == m["_mflag"]), "full_outer")
+    is_insert = F.col("_tflag").isNull()
+    out = []
+    for c in target.columns:
+        if c == id_col:
+            e = F.when(is_insert, F.col("_first._id")).otherwise(F.col(c))
+        elif c in order:
+            e = F.when(is_insert, F.col(f"_first.{c}")).otherwise(F.col(c))
+        elif c in written:
+            e = F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c))
+        else:
+            e = F.col(c)
+        out.append(e.alias(c))
+    return j.select(*out)
 
 
 def upsert_match(target: DataFrame, batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col="job_id") -> DataFrame:
