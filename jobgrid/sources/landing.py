@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobgrid.operators.paging import LISTING_ORDER
 
 # Fixed values of the sources: page windows, page sizes, failure policies,
 # upsert keys, time encoding of the scrape time, and run order.
@@ -299,7 +298,3 @@ def build_landing(listings: DataFrame, k: int | None = None) -> DataFrame:
         F.when(bad, F.lit("<html><body>Server error</body></html>")).otherwise(body).alias("body"),
         F.when(src.isin("Internshala", "Unstop"), local_fmt).otherwise(utc_fmt).alias("fetched_at"),
     )
-
-
-def landing_order() -> tuple[str, ...]:
-    return LISTING_ORDER
