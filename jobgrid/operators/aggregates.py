@@ -33,10 +33,15 @@ def counts(df: DataFrame) -> DataFrame:
     )
 
 
-def count_filtered(df: DataFrame, limit: int = 250) -> DataFrame:
-    """Total under a filter and ``ceil(total/limit)`` pages."""
+def count_filtered(df: DataFrame, limit: int = 250, **filters) -> DataFrame:
+    """Total under a filter (``filters`` as for ``list_filtered``, or an
+    already filtered frame) and ``ceil(total/limit)`` pages."""
     if int(limit) < 1:
         raise ValueError("limit must be >= 1")
+    if filters:
+        from jobgrid.operators.filters import list_filtered
+
+        df = list_filtered(df, **filters)
     return df.agg(F.count(F.lit(1)).alias("total")).select(
         "total", F.ceil(F.col("total") / F.lit(int(limit))).cast("bigint").alias("total_pages")
     )

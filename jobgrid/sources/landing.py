@@ -71,9 +71,13 @@ def scan_landing(landing: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
-def read_landing(spark: SparkSession, path: str, config: DataFrame | None = None) -> DataFrame:
-    """Landing pages from Parquet (partitioned by ``source``), windowed."""
+def read_landing(spark: SparkSession, path: str, run_id: str | None = None,
+                 config: DataFrame | None = None) -> DataFrame:
+    """Landing pages from Parquet (partitioned by ``source``), windowed; one
+    run's pages when ``run_id`` is given (a pushed-down equality filter)."""
     df = spark.read.schema(LANDING_SCHEMA).parquet(path)
+    if run_id is not None:
+        df = df.filter(F.col("run_id") == run_id)
     return scan_landing(df, config if config is not None else source_config(spark))
 
 

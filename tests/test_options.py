@@ -87,3 +87,23 @@ def test_stream_dedupe_with_watermark(spark):
                              watermark="1 hour")
     q.awaitTermination()
     assert sorted(r.dedupe_key for r in spark.read.parquet(out).collect()) == ["a @ x", "b @ y"]
+
+
+def test_read_landing_one_run(spark, small_dir):
+    from jobgrid.plans.q_landing import landing_pages
+    from jobgrid.sources.landing import read_landing
+
+    path = scratch_path(spark, "landing-read")
+    landing_pages(spark, small_dir).write.partitionBy("source").parquet(path)
+    one = landing_pages(spark, small_dir).select("run_id").first().run_id
+    df = read_landing(spark, path, run_id=one)
+    assert {r.run_id for r in df.select("run_id").distinct().collect()} == {one}
+
+
+def test_count_filtered_with_filters(spark, small_dir):
+    from jobgrid.operators import aggregates
+
+    df = fx.listings(spark, small_dir)
+    a = aggregates.count_filtered(df, 100, search="red").first()
+    b = aggregates.count_filtered(filters.list_filtered(df, search="red"), 100).first()
+    assert a == b and a.total_pages == -(-a.total // 100)
