@@ -107,3 +107,15 @@ def test_count_filtered_with_filters(spark, small_dir):
     a = aggregates.count_filtered(df, 100, search="red").first()
     b = aggregates.count_filtered(filters.list_filtered(df, search="red"), 100).first()
     assert a == b and a.total_pages == -(-a.total // 100)
+
+
+def test_upsert_keeps_fields_the_source_does_not_write(spark):
+    from jobgrid.plans.ingest import PROVENANCE, SOURCE_WRITES
+
+    schema = "job_id string, seq int, title string, company string, job_url string, stipend string, source string"
+    t = spark.createDataFrame([("t1", 1, "Dev", "Acme", "u", "INR 5", "Internshala")], schema)
+    b = spark.createDataFrame([("b1", 9, "Dev", "Acme", "u", None, "Naukri")], schema)
+    written = [c for c in SOURCE_WRITES["Naukri"] if c in b.columns]
+    assert "stipend" not in written and PROVENANCE
+    out = merge.upsert(t, b, ["title", "company", "job_url"], order=("seq",), written=written).collect()
+    assert [(r.job_id, r.stipend, r.source) for r in out] == [("t1", "INR 5", "Naukri")]
