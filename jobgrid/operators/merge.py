@@ -94,37 +94,36 @@ def upsert(
         F.max_by(F.struct(*written), F.struct(*okey)).alias("_v"),
         F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_first"),
     )
-    tk = target.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
+    # Only target rows whose key occurs in the batch can match: a null-safe
+    # semi-join (broadcast by AQE when the batch's key set is small) cuts the
+    # target to those rows before the per-key aggregate, so the whole target
+    # is scanned for a few columns but never shuffled.
+    tsel = target.select(*keys, *[c for c in okey if c not in keys])
+    bkeys = bk.select(*keys)
+    cand = tsel.join(bkeys, _null_safe_on(tsel, bkeys, keys), "left_semi")
+    tk = cand.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
     m = bk.alias("b").join(tk.alias("t"), _null_safe_on(bk, tk, keys), "left").select(
         F.col("b._v").alias("_v"), F.col("b._first").alias("_first"), F.col("t._t").alias("_t")
     )
 
-    # One full outer join does both halves: a matched key carries the target
-    # row's id (flag true) and meets that row; an unmatched key carries its
-    # own first batch id (flag false), meets nothing and becomes the insert.
-    # Inserts are spread by their own id, never gathered on a null key.
-    matched = F.col("_t").isNotNull()
-    m = m.select(
-        F.when(matched, F.col("_t._id")).otherwise(F.col("_first._id")).alias("_mid"),
-        matched.alias("_mflag"),
-        "_v",
-        "_first",
+    # Updates meet their target row by id (one row per batch key: AQE
+    # broadcasts them when small, so the target is not shuffled); unmatched
+    # keys become inserts.
+    updates = m.filter(F.col("_t").isNotNull()).select(F.col("_t._id").alias("_uid"), "_v")
+    patched = target.join(updates, target[id_col] == updates["_uid"], "left").select(
+        *[
+            F.when(F.col("_uid").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c)
+            if c in written
+            else F.col(c)
+            for c in target.columns
+        ]
+    )
+    inserts = m.filter(F.col("_t").isNull()).select(
+        F.col("_first._id").alias(id_col),
+        *[F.col(f"_first.{c}").alias(c) for c in order if c != id_col],
+        *[F.col(f"_v.{c}").alias(c) for c in written],
     )
-    t = target.withColumn("_tflag", F.lit(True))
-    j = t.join(m, (t[id_col] == m["_mid"]) & (t["_tflag"] == m["_mflag"]), "full_outer")
-    is_insert = F.col("_tflag").isNull()
-    out = []
-    for c in target.columns:
-        if c == id_col:
-            e = F.when(is_insert, F.col("_first._id")).otherwise(F.col(c))
-        elif c in order:
-            e = F.when(is_insert, F.col(f"_first.{c}")).otherwise(F.col(c))
-        elif c in written:
-            e = F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c))
-        else:
-            e = F.col(c)
-        out.append(e.alias(c))
-    return j.select(*out)
+    return patched.unionByName(inserts, allowMissingColumns=True)
 
 
 def upsert_match(target: DataFrame, batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col="job_id") -> DataFrame:
