@@ -128,8 +128,11 @@ def upsert(
 
 def upsert_match(target: DataFrame, batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col="job_id") -> DataFrame:
     """For each batch row, the target row its upsert would update (or null)."""
-    tk = target.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
     b = batch.select(id_col, *keys)
+    bkeys = b.select(*keys).distinct()
+    tsel = target.select(*keys, *[c for c in dict.fromkeys([*order, id_col]) if c not in keys])
+    cand = tsel.join(bkeys, _null_safe_on(tsel, bkeys, keys), "left_semi")
+    tk = cand.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
     return (
         b.alias("b")
         .join(tk.alias("t"), _null_safe_on(b, tk, keys), "left")
