@@ -95,3 +95,13 @@ def test_batch_search_never_broadcasts_listings(spark, small_dir):
     hits = search._theta(lst, log.select("q").distinct(), 8, 4)  # the large-query-set path
     p = _plan(hits)
     assert "BroadcastNestedLoopJoin" in p and "BuildRight" in p
+
+
+def test_ingest_reports_collapsed_keys(spark, small_dir):
+    res = ingest_run(empty_listings(spark), q_landing.landing(spark, small_dir), source_config(spark))
+    rows = {r.source: r for r in res.collapsed.collect()}
+    assert set(rows) == {"Internshala", "Unstop", "Naukri", "Indeed"}
+    for r in rows.values():
+        assert r.rows - r.keys == r.collapsed >= 0
+    assert rows["Indeed"].collapsed == 0
+    assert rows["Internshala"].collapsed > 0  # link-less cards share the key ''
