@@ -96,8 +96,8 @@ def apply_requests(saved: DataFrame, requests: DataFrame, listings: DataFrame, a
         F.max(F.when(~is_save, F.struct("ts", "request_id"))).alias("_lu"),
         F.min(F.when(is_save, F.col("ts"))).alias("_first_save"),
     )
-    kept = a.filter(F.col("_last.action") == "save")
-    relapsed = kept.filter(F.col("_lu").isNotNull()).select(*PAIR, "_lu")
+    # first save after the last unsave, for the pairs that have an unsave
+    relapsed = a.filter(F.col("_lu").isNotNull()).select(*PAIR, "_lu")
     after = (
         r.filter(is_save)
         .join(relapsed, PAIR)
@@ -105,17 +105,18 @@ def apply_requests(saved: DataFrame, requests: DataFrame, listings: DataFrame, a
         .groupBy(*PAIR)
         .agg(F.min("ts").alias("_fsa"))
     )
-    old = saved.select(*PAIR, F.col("saved_at").alias("_old"))
-    present = (
-        kept.join(after, PAIR, "left")
-        .join(old, PAIR, "left")
-        .select(
-            *PAIR,
-            F.when(F.col("_lu").isNull(), F.coalesce("_old", "_first_save")).otherwise(F.col("_fsa")).alias("saved_at"),
-        )
+    # One full outer join with the saved table decides every pair: untouched
+    # (no request), present (last action save) or removed (last action unsave).
+    summary = a.join(after, PAIR, "left")
+    j = saved.select(*PAIR, F.col("saved_at").alias("_old")).join(summary, PAIR, "full_outer")
+    touched = F.col("_last").isNotNull()
+    saved_at = (
+        F.when(~touched, F.col("_old"))
+        .when(F.col("_lu").isNull(), F.coalesce("_old", "_first_save"))
+        .otherwise(F.col("_fsa"))
     )
-    untouched = saved.select(*PAIR, "saved_at").join(a.select(*PAIR), PAIR, "left_anti")
-    return untouched.unionByName(present)
+    keep = ~touched | (F.col("_last.action") == "save")
+    return j.filter(keep).select(*PAIR, saved_at.alias("saved_at"))
 
 
 def apply_saves(saved: DataFrame, requests: DataFrame, listings: DataFrame) -> DataFrame:
