@@ -174,7 +174,7 @@ for _s in ("Unstop", "Naukri", "Indeed"):
 
 @register(
     "scan_html_cards",
-    """SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(t) AS text FROM (
+    """SELECT page_id, CAST(unnest(range(len(h))) AS int) AS pos, unnest(h) AS href, unnest(t) AS text FROM (
          SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h,
                 regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS t FROM pages)""",
 )

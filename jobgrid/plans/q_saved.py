@@ -185,7 +185,7 @@ def search_batch(spark, d):
 
 @register(
     "user_feed",
-    f"""SELECT u.user_id, rk.job_id, rk.feed_rank FROM users u JOIN (
+    f"""SELECT u.user_id, rk.job_id, CAST(rk.feed_rank AS int) AS feed_rank FROM users u JOIN (
           SELECT * FROM (SELECT k, job_id, row_number() OVER (PARTITION BY k ORDER BY scraped_date, page, job_id) AS feed_rank
             FROM (SELECT job_id, scraped_date, page, duration AS k FROM listings WHERE coalesce(duration, '') <> ''
                   UNION ALL SELECT job_id, scraped_date, page, '*ALL*' FROM listings) c) x

@@ -239,7 +239,7 @@ _INIT = {
       nw AS (SELECT * FROM sr WHERE NOT EXISTS (SELECT 1 FROM init i WHERE i.user_id = sr.user_id AND i.job_id = sr.job_id)),
       el AS (SELECT user_id, job_id, 0 AS part, saved_at AS t, job_id AS ks, CAST(0 AS bigint) AS kn FROM init
              UNION ALL SELECT user_id, job_id, 1, o_ts, '', o_rid FROM nw)
-    SELECT u.user_id, count(el.job_id) AS n_saved,
+    SELECT u.user_id, CAST(count(el.job_id) AS int) AS n_saved,
            coalesce(string_agg(el.job_id, ',' ORDER BY el.part, el.t, el.ks, el.kn), '') AS ids
     FROM users u LEFT JOIN el ON u.user_id = el.user_id GROUP BY u.user_id""",
     ("users", "saved_jobs", "requests"),
@@ -257,7 +257,7 @@ def embedded_save(spark, d):
                    AND r.user_id = i.user_id AND r.job_id = i.job_id)),
       rm AS (SELECT user_id, count(*) AS n FROM init i WHERE EXISTS (SELECT 1 FROM requests r WHERE r.action = 'unsave'
                    AND r.user_id = i.user_id AND r.job_id = i.job_id) GROUP BY user_id)
-    SELECT u.user_id, count(el.job_id) AS n_saved, coalesce(string_agg(el.job_id, ',' ORDER BY el.saved_at, el.job_id), '') AS ids,
+    SELECT u.user_id, CAST(count(el.job_id) AS int) AS n_saved, coalesce(string_agg(el.job_id, ',' ORDER BY el.saved_at, el.job_id), '') AS ids,
            CAST(coalesce(max(rm.n), 0) AS int) AS n_removed
     FROM users u LEFT JOIN el ON u.user_id = el.user_id LEFT JOIN rm ON u.user_id = rm.user_id GROUP BY u.user_id""",
     ("users", "saved_jobs", "requests"),

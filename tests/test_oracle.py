@@ -12,11 +12,19 @@ QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 
 
+_TYPES = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN",
+          "DateType()": "DATE", "TimestampNTZType()": "TIMESTAMP", "DoubleType()": "DOUBLE"}
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_oracle(spark, duck, small_dir, key):
-    cols, rows = spark_bag(QUERIES[key](spark, small_dir))
+    df = QUERIES[key](spark, small_dir)
+    cols, rows = spark_bag(df)
     ocols, orows = duck_bag(duck, ORACLES[key])
     assert cols == ocols
+    spark_types = {f.name: _TYPES.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {ORACLES[key]}").fetchall()}
+    assert spark_types == duck_types
     assert len(rows) == len(orows)
     assert rows == orows
 
