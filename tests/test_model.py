@@ -92,3 +92,77 @@ def test_apply_requests_equals_sequential(spark, reqs, pre):
     lst = spark.createDataFrame([(j,) for j in sorted(listings)], "job_id string")
     got = saved.apply_requests(s, r, lst)
     assert sorted(tuple(x) for x in got.collect()) == model_requests(saved_rows, req_rows, listings)
+
+
+def _valid(j):
+    return len(j) == 24 and all(c in "0123456789abcdefABCDEF" for c in j)
+
+
+def model_classify(pre, reqs, listings, action):
+    state = set(pre)
+    out = {}
+    for rid, ts, u, a, j in sorted(reqs, key=lambda r: (r[1], r[0])):
+        if a != action:
+            continue
+        if not _valid(j):
+            out[rid] = "invalid_id"
+        elif action == "save":
+            if j not in listings:
+                out[rid] = "not_found"
+            elif (u, j) in state:
+                out[rid] = "already_saved"
+            else:
+                out[rid] = "created"
+                state.add((u, j))
+        else:
+            if (u, j) in state:
+                out[rid] = "removed"
+                state.discard((u, j))
+            else:
+                out[rid] = "not_found"
+    return out
+
+
+@SETTINGS
+@given(
+    reqs=st.lists(
+        st.tuples(st.integers(0, 1), st.sampled_from(["save", "unsave"]), st.sampled_from(JOBS), st.integers(0, 5)),
+        max_size=12,
+    ),
+    pre=st.sets(st.tuples(st.integers(0, 1), st.sampled_from(JOBS[:3])), max_size=3),
+)
+def test_classification_equals_sequential(spark, reqs, pre):
+    base = dt.datetime(2024, 1, 1)
+    listings = set(JOBS[:2])
+    req_rows = [(i, base + dt.timedelta(minutes=m), u, a, j) for i, (u, a, j, m) in enumerate(reqs)]
+    r = spark.createDataFrame(req_rows, "request_id long, ts timestamp_ntz, user_id long, action string, job_id string")
+    s = spark.createDataFrame([(u, j, base) for u, j in sorted(pre)], "user_id long, job_id string, saved_at timestamp_ntz")
+    lst = spark.createDataFrame([(j,) for j in sorted(listings)], "job_id string")
+    got_s = {x.request_id: x.status for x in saved.classify_saves(r, lst, s).collect()}
+    got_u = {x.request_id: x.status for x in saved.classify_unsaves(r, s).collect()}
+    assert got_s == model_classify(pre, req_rows, listings, "save")
+    assert got_u == model_classify(pre, req_rows, listings, "unsave")
+
+
+@SETTINGS
+@given(
+    reqs=st.lists(st.tuples(st.integers(0, 1), st.sampled_from(JOBS), st.integers(0, 5)), max_size=10),
+    init=st.lists(st.tuples(st.integers(0, 1), st.sampled_from(["str", "job_id", "id"]), st.sampled_from(JOBS)),
+                  max_size=4),
+)
+def test_embedded_save_equals_sequential(spark, reqs, init):
+    from jobgrid.operators import users
+
+    base = dt.datetime(2024, 1, 1)
+    arrays = {0: [], 1: []}
+    for u, kind, j in init:
+        arrays[u].append({"str": None, "job_id": None, "id": None, "oid": None, kind: j})
+    req_rows = [(i, base + dt.timedelta(minutes=m), u, "save", j) for i, (u, j, m) in enumerate(reqs)]
+    model = {u: [dict(e) for e in arr] for u, arr in arrays.items()}
+    for _, _, u, _, j in sorted(req_rows, key=lambda r: (r[1], r[0])):
+        if not any(e["str"] == j or e["job_id"] == j or e["id"] == j for e in model[u]):
+            model[u].append({"str": None, "job_id": j, "id": None, "oid": None})
+    a = spark.createDataFrame([(u, arr) for u, arr in arrays.items()], f"user_id long, saved array<{users.ELEMENT}>")
+    r = spark.createDataFrame(req_rows, "request_id long, ts timestamp_ntz, user_id long, action string, job_id string")
+    got = {x.user_id: [e.asDict() for e in x.saved] for x in users.embedded_save(a, r).collect()}
+    assert got == model
