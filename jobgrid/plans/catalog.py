@@ -18,10 +18,9 @@ def sql_strip(x: str) -> str:
 
 
 def sql_dedupe_key(t: str = "title", c: str = "company") -> str:
-    return (
-        f"concat(lower({sql_strip(f'coalesce({t}, {chr(39)}{chr(39)})')}), ' @ ', "
-        f"lower({sql_strip(f'coalesce({c}, {chr(39)}{chr(39)})')}))"
-    )
+    title = sql_strip("coalesce(" + t + ", '')")
+    company = sql_strip("coalesce(" + c + ", '')")
+    return f"concat(lower({title}), ' @ ', lower({company}))"
 
 
 LISTING_COLS = "job_id, title, company, location, source, stipend, duration, job_url, scraped_date, page"

@@ -17,10 +17,14 @@ L, U, R = fx.listings, fx.users, fx.requests
 _S = sql_strip
 
 
+_TITLE0 = _S("coalesce(title, '')")
+_COMPANY0 = _S("coalesce(company, '')")
+
+
 @register(
     "fn_strip_lower",
-    f"SELECT job_id, lower({_S(chr(99) + 'oalesce(title, ' + chr(39) * 2 + ')')}) AS title_key, "
-    f"lower({_S(chr(99) + 'oalesce(company, ' + chr(39) * 2 + ')')}) AS company_key, {sql_dedupe_key()} AS dedupe_key FROM listings",
+    f"SELECT job_id, lower({_TITLE0}) AS title_key, lower({_COMPANY0}) AS company_key, "
+    f"{sql_dedupe_key()} AS dedupe_key FROM listings",
     ("listings",),
 )
 def fn_strip_lower(spark, d):
