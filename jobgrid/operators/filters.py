@@ -17,12 +17,18 @@ from pyspark.sql import functions as F
 from jobgrid.functions.text import contains_ci
 
 
+# Python-only group syntax that Java's regex engine rejects.
+_PY_ONLY = re.compile(r"\(\?P[<=>]")
+
+
 def check_pattern(p: str) -> str:
     """Reject a malformed pattern before any job runs (D8)."""
     try:
         re.compile(p)
     except re.error as e:  # pragma: no cover - message path
         raise ValueError(f"invalid search pattern {p!r}: {e}") from None
+    if _PY_ONLY.search(p):
+        raise ValueError(f"invalid search pattern {p!r}: (?P...) groups are not supported")
     return p
 
 

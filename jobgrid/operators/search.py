@@ -13,21 +13,21 @@ The cost is queries × listings.  The distinct query set is measured first
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobgrid.operators.filters import check_pattern
+
 FIELDS = ("title", "company", "location")
 
 
 def _valid(p: str) -> bool:
     try:
-        re.compile(p)
+        check_pattern(p)
         return True
-    except re.error:
+    except ValueError:
         return False
 
 

@@ -119,3 +119,8 @@ def test_upsert_keeps_fields_the_source_does_not_write(spark):
     assert "stipend" not in written and PROVENANCE
     out = merge.upsert(t, b, ["title", "company", "job_url"], order=("seq",), written=written).collect()
     assert [(r.job_id, r.stipend, r.source) for r in out] == [("t1", "INR 5", "Naukri")]
+
+
+def test_python_only_regex_syntax_rejected(spark, small_dir):
+    with pytest.raises(ValueError):
+        filters.search(fx.listings(spark, small_dir), "(?P<x>gear)")
