@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobgrid.llm import url_filter
+from jobgrid.llm import quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_url_filter")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, m = quality_rules.judge(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    cols = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return judged.select("doc_id", *(f"{m}.{c}" for c in cols))
