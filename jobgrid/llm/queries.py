@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jobgrid.llm import quality_rules, url_filter
+from jobgrid.llm import bpe, packing, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = quality_rules.judge(table(spark, sf_dir, "documents"), columns=["doc_id"])
     cols = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return judged.select("doc_id", *(f"{m}.{c}" for c in cols))
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select(*cols)
+
+
+@query("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
