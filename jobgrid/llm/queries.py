@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobgrid.llm import bpe, packing, quality_rules, url_filter
+from jobgrid.llm import bpe, license_scan, packing, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base_labels = F.array_sort(F.array_distinct("base.label"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
+        F.array_join(base_labels, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base_labels, "method_labels")), ",").alias("labels"),
+        "score",
+    )
