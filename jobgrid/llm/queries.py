@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrid.llm import bpe, license_scan, packing, quality_rules, simhash, url_filter
+from jobgrid.llm import bpe, frames, license_scan, packing, quality_rules, repeats, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = frames.text_of()
+    rows = docs.select("doc_id", *repeats.text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
+    cut = suffix_dedup.cut_texts(docs).select(
+        "t1", "t2", F.size("starts").cast("long").alias("spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("cut_sha")
+    )
+    copied = F.col("copies").isNotNull()
+    return rows.join(suffix_dedup.copied_texts(docs), ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left").select(
+        "doc_id", "n_bytes",
+        F.when(copied, F.col("n_bytes")).otherwise(F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"),
+        F.when(copied, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+    )
