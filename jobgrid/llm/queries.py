@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrid.llm import bpe, frames, license_scan, packing, quality_rules, repeats, simhash, suffix_dedup, url_filter
+from jobgrid.llm import bpe, frames, license_scan, packing, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(copied, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = frames.text_of()
+    rows = docs.select("doc_id", substring_dedup.rank_of("doc_id").alias("d"), *repeats.text_key(text), substring_dedup.joined_words(text).alias("w"))
+    rows = rows.select("doc_id", "d", "t1", "t2", F.col("w.n").alias("n_words"), F.sha2("w.joined", 256).alias("sha"))
+    cut = substring_dedup.cut_texts(docs).select("t1", "t2", "removed", F.sha2("kept", 256).alias("cut_sha"))
+    whole = (F.col("d") > F.col("least")) & (F.col("n_words") >= substring_dedup.WORDS)  # a copy of an earlier document
+    return rows.join(substring_dedup.copied_texts(docs), ["t1", "t2"], "left").join(cut, ["t1", "t2"], "left").select(
+        "doc_id", "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+    )

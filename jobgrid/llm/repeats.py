@@ -207,16 +207,17 @@ def candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: i
     return found.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
 
 
-def one_of_each(texts: DataFrame) -> DataFrame:
-    """One row of each text; copies go before the shuffle as far as a task sees them."""
-    w = W.partitionBy("t1", "t2").orderBy("t1")
+def one_of_each(texts: DataFrame, order: str = "t1") -> DataFrame:
+    """One row of each text, that with the least ``order``; copies go before
+    the shuffle as far as a task sees them."""
+    w = W.partitionBy("t1", "t2").orderBy(order)
     return texts.withColumn("copy", F.row_number().over(w)).filter("copy = 1").drop("copy")
 
 
-def with_candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: int, k: int) -> DataFrame:
+def with_candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: int, k: int, order: str = "t1") -> DataFrame:
     """The texts that have candidate stretches, once each, with their
     ``places``: a written table."""
-    return cut_lineage(one_of_each(texts).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
+    return cut_lineage(one_of_each(texts, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
