@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import store
+
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         return directed.join(smallest, a == F.col("k"))
 
     def store(pairs: DataFrame) -> DataFrame:
-        return cut_lineage(pairs.filter(a != b).distinct(), "links")
+        return store(pairs.filter(a != b).distinct(), "links")
 
     def mark(pairs: DataFrame):
         return tuple(pairs.agg(F.count("a"), F.expr("bit_xor(xxhash64(a, b))")).first())

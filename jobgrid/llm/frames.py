@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobgrid.session import shared_dir
+
 #: a word is a run of anything but blanks
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows up to which a side may be broadcast after it has been counted
@@ -28,3 +30,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have few rows; else as
     it is, so that the join shuffles and Spark splits its skewed partitions."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def store(df: DataFrame, what: str) -> DataFrame:
+    """``df`` computed once and kept as a checkpoint in the folder that the
+    cluster shares (``spark.checkpoint.dir``): a lost executor loses none of
+    it, and row numbers in it stay as they are.  Spark removes the files with
+    the frame if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    context = df.sparkSession.sparkContext
+    shared_dir(df.sparkSession)
+    context.setJobDescription(what)
+    try:
+        return df.checkpoint()
+    finally:
+        context.setJobDescription(None)

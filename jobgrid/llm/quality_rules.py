@@ -25,8 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobgrid.llm.frames import WORD, broadcast_if_small, free_name, text_of
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import WORD, broadcast_if_small, free_name, store, text_of
 
 RULES = ("short", "repeated", "symbols", "dup_lines", "word_length")
 #: strength of the prior when hosts do not differ more than chance allows
@@ -105,7 +104,7 @@ def host_table(measured: DataFrame, host: str, m: str, max_rate: float = 0.5) ->
     hosts = measured.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *(F.count_if(flags[r]).alias(f"fail_{r}") for r in RULES)
     )
-    hosts = cut_lineage(hosts, "quality-hosts")
+    hosts = store(hosts, "quality-hosts")
     stats = hosts.agg(
         F.sum("n").alias("n"), F.avg(1 / F.col("n")).alias("inv_n"),
         *(F.sum(f"fail_{r}").alias(f"sum_{r}") for r in RULES),
@@ -124,11 +123,11 @@ def judge(
 ) -> tuple[DataFrame, str]:
     """``columns`` of ``docs`` (default: all; the host column always) with a
     struct column of the measures, base_failed and kept; and that column's
-    name.  Measured once: the rows are written to the shared folder before the
+    name.  Measured once: the rows are kept in the shared folder before the
     host verdicts are joined back."""
     m = free_name(docs, "quality")
     columns = docs.columns if columns is None else list(dict.fromkeys([*columns, host_col]))
-    measured = cut_lineage(measure(docs, text_col, m).select(*(F.col(f"`{c}`") for c in columns), m), "quality")
+    measured = store(measure(docs, text_col, m).select(*(F.col(f"`{c}`") for c in columns), m), "quality")
     bad = host_table(measured, host_col, m, max_rate).filter("rejected")
     key, mark = free_name(measured, "bad_host"), free_name(measured, "host_rejected")
     bad = broadcast_if_small(bad.select(F.col("host").alias(key), F.lit(True).alias(mark)))
@@ -138,3 +137,9 @@ def judge(
     kept = ~base & F.col(mark).isNull()
     cols = [F.col(f"`{c}`") for c in columns]
     return joined.select(*cols, F.struct(f"{m}.*", base.alias("base_failed"), kept.alias("kept")).alias(m)), m
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    judged, m = judge(docs, text_col, host_col, max_rate)
+    return judged.filter(F.col(f"{m}.kept")).drop(m)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrid.llm import bpe, frames, license_scan, packing, quality_rules, repeats, simhash, substring_dedup, suffix_dedup, url_filter
+from jobgrid.llm import ann, bpe, frames, license_scan, packing, quality_rules, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    kinds = F.array(*(F.lit(k) for k in secret_scan.KINDS))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{secret_scan.KINDS[kind]}")
+
+    base, counts = F.filter("spans", lambda x: x["kind"] < 3), [count(k) for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query("op7_ann")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from jobgrid.llm.frames import store
+
 from jobgrid.llm.arrow import utf8
-from jobgrid.session import cut_lineage
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,7 +218,7 @@ def one_of_each(texts: DataFrame, order: str = "t1") -> DataFrame:
 def with_candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: int, k: int, order: str = "t1") -> DataFrame:
     """The texts that have candidate stretches, once each, with their
     ``places``: a written table."""
-    return cut_lineage(one_of_each(texts, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
+    return store(one_of_each(texts, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

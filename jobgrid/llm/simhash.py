@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from jobgrid.llm.arrow import utf8
 from jobgrid.llm.components import connected_components
-from jobgrid.llm.frames import broadcast_if_small, free_name, text_of
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import broadcast_if_small, free_name, store, text_of
 
 SHINGLE, SEED, DISTANCE, SEGMENT = 3, 42, 3, 32
 #: groups up to this size are compared pair by pair, larger ones by lookup
@@ -178,7 +177,7 @@ def classes(stored: DataFrame, id_col: str) -> DataFrame:
     prints = stored.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = connected_components(links(prints.select("fp")))
     rooted = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted, "simhash-roots")
+    rooted = store(rooted, "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
 
@@ -186,7 +185,7 @@ def classes(stored: DataFrame, id_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fp, component_id) of every row: the fingerprint as a signed
     long and the smallest id reachable over links."""
-    stored = cut_lineage(docs.select(F.col(id_col), fingerprint(text_of(text_col)).alias("fp")), "simhash")
+    stored = store(docs.select(F.col(id_col), fingerprint(text_of(text_col)).alias("fp")), "simhash")
     return stored.join(classes(stored, id_col), "fp").select(id_col, "fp", "component_id")
 
 
@@ -194,10 +193,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one row of each class, one with its smallest id."""
     row, fp = free_name(docs, "simhash_row"), free_name(docs, "simhash_fp")
     stored = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprint(text_of(text_col))})
-    stored = cut_lineage(stored, "simhash-docs")
+    stored = store(stored, "simhash-docs")
     keys = stored.select(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
-    rows = cut_lineage(keys.join(classes(keys, "id"), "fp").select("id", "row", "root", "component_id"), "simhash-classes")
+    rows = store(keys.join(classes(keys, "id"), "fp").select("id", "row", "root", "component_id"), "simhash-classes")
     first = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))
     gone = rows.join(first, "root").filter("row != first").select(F.col("row").alias(row))
-    gone = broadcast_if_small(cut_lineage(gone, "simhash-gone"))
+    gone = broadcast_if_small(store(gone, "simhash-gone"))
     return stored.join(gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

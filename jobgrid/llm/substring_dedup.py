@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from jobgrid.llm import repeats as R
 from jobgrid.llm.arrow import utf8, values
-from jobgrid.llm.frames import text_of
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import store, text_of
 
 WORDS, GRAM = 50, 8
 #: bytes of stretches in a shard, and windows looked at with one automaton
@@ -218,7 +217,7 @@ def passages_to_remove(held: DataFrame, n: int = WORDS) -> DataFrame:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stretches * 12 * n) // SHARD_BYTES + 1)
     rows, schema = _stretch_rows(n)
     dealt = held.mapInArrow(rows, schema).repartitionByRange(shards, "lead", "salt")
-    located = cut_lineage(dealt.mapInArrow(_search(n), _LOCATED), "phrase-shards")
+    located = store(dealt.mapInArrow(_search(n), _LOCATED), "phrase-shards")
     edges = located.filter(F.col("kind") == _ONCE)
     least = edges.groupBy("w1", "w2").agg(F.min("d").alias("least"))
     across = edges.join(least, ["w1", "w2"]).filter("d > least")

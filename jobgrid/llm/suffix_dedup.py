@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from jobgrid.llm import repeats as R
 from jobgrid.llm.arrow import utf8, values
-from jobgrid.llm.frames import free_name, text_of
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import free_name, store, text_of
 
 BYTES, GRAM, LEAD = 200, 50, 16
 #: stretches of about this many bytes in a bucket, and windows compared at a time
@@ -206,7 +205,7 @@ def repeated_intervals(held: DataFrame, n: int = BYTES, k: int = GRAM) -> DataFr
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stretches * 1.5 * n) // BUCKET_BYTES + 1)
     rows, schema = _stretch_rows(n)
     bucketed = held.mapInArrow(rows, schema).repartitionByRange(buckets, "lead", "salt")
-    compared = cut_lineage(bucketed.mapInArrow(_compare(n, k), _COMPARED), "suffix-buckets")
+    compared = store(bucketed.mapInArrow(_compare(n, k), _COMPARED), "suffix-buckets")
     edges = compared.filter(F.col("kind") != _KNOWN)
     common = edges.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     across = edges.filter(F.col("kind") == _ONCE).join(common, ["w1", "w2"])

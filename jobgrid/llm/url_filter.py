@@ -25,9 +25,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from jobgrid.session import cut_lineage
+from jobgrid.llm import markov
+from jobgrid.llm.frames import store
 
 #: (host, path, verdict)
 RULES = (
@@ -64,57 +64,7 @@ def fold(url: Column) -> Column:
     at = F.instr(url, "://")
     rest = F.coalesce(F.when(at > 0, F.substr(url, at + 3)).otherwise(url), F.lit(""))
     plain = F.translate(rest, UPPER + "0123456789_", LOWER + "0" * 10 + "-")
-    return F.concat(F.lit("^" * ORDER), F.regexp_replace(plain, r"[^a-z0/.\-]", "~"), F.lit("^"))
-
-
-def grams(folded: Column) -> Column:
-    """Every symbol of the folded URL with the three before it."""
-    return F.transform(F.sequence(F.lit(1), F.length(folded) - ORDER), lambda i: F.substr(folded, i, F.lit(ORDER + 1)))
-
-
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, acc, rej) over every row of ``rows`` (folded, label): counts of
-    each 4-gram in accepted and rejected training URLs, zero elsewhere."""
-    per_url = rows.groupBy("folded").agg(
-        F.count_if(F.col("label") == "allow").alias("a"), F.count_if(F.col("label") == "block").alias("r")
-    )
-    return (
-        per_url.select(F.explode(grams(F.col("folded"))).alias("gram"), "a", "r")
-        .groupBy("gram")
-        .agg(F.sum("a").alias("acc"), F.sum("r").alias("rej"))
-    )
-
-
-def log_ratio_model(counts: DataFrame) -> DataFrame:
-    """(gram, lr): log P_accepted - log P_rejected of the gram's last symbol."""
-    lower = None
-    for n in range(1, ORDER + 2):  # symbols in the gram: context of n - 1
-        level = counts.groupBy(F.right("gram", F.lit(n)).alias("g")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
-        context = W.partitionBy(F.left("g", F.lit(n - 1))) if n > 1 else W.partitionBy(F.lit(0))
-        p = {}
-        for c in ("acc", "rej"):
-            seen = F.sum(c).over(context)
-            if n == 1:
-                p[c] = (F.col(c) + 1) / (seen + SYMBOLS)
-            else:
-                kinds = F.count_if(F.col(c) > 0).over(context)
-                p[c] = F.when(seen > 0, (F.col(c) + kinds * F.col(f"p_{c}")) / (seen + kinds)).otherwise(F.col(f"p_{c}"))
-        if n > 1:
-            level = level.join(lower, F.right("g", F.lit(n - 1)) == F.col("shorter"))
-        lower = level.select(F.col("g").alias("shorter"), p["acc"].alias("p_acc"), p["rej"].alias("p_rej"))
-    return lower.select(F.col("shorter").alias("gram"), F.log(F.col("p_acc") / F.col("p_rej")).alias("lr"))
-
-
-def scores(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """(folded, score) of each distinct folded URL: mean log ratio per symbol."""
-    small = F.broadcast(model)  # at most SYMBOLS ** (ORDER + 1) rows
-    return (
-        rows.select("folded").distinct()
-        .select("folded", F.explode(grams(F.col("folded"))).alias("gram"))
-        .join(small, "gram")
-        .groupBy("folded")
-        .agg(F.avg("lr").alias("score"))
-    )
+    return markov.between_marks(F.regexp_replace(plain, r"[^a-z0/.\-]", "~"), ORDER)
 
 
 def judge_urls(
@@ -129,11 +79,11 @@ def judge_urls(
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), fold(url).alias("folded"))
     name, decided = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "decided": decided, "held": F.pmod(F.xxhash64("folded"), F.lit(holdout)) == 0})
-    train = rows.select("folded", F.when(~F.col("held"), F.col("decided")).alias("label"))
-    counts = cut_lineage(gram_counts(train), "url-grams")
-    model = cut_lineage(log_ratio_model(counts), "url-model")
-    scored = cut_lineage(scores(rows, model), "url-scores")
-    classes = counts.agg(F.sum("acc"), F.sum("rej")).first()
+    train = rows.groupBy("folded").agg(*(F.count_if(~F.col("held") & (F.col("decided") == v)).alias(c) for v, c in (("allow", "pos"), ("block", "neg"))))
+    counts = store(markov.gram_counts(train, ORDER), "url-grams")
+    model = store(markov.log_ratio(counts, ORDER, SYMBOLS), "url-model")
+    scored = store(markov.scores(rows, model, ORDER), "url-scores")
+    classes = counts.agg(F.sum("pos"), F.sum("neg")).first()
     cut = (
         rows.filter("held and decided = 'allow'").join(scored, "folded")
         .agg(F.percentile_approx("score", false_reject, 10000)).first()[0]
