@@ -26,19 +26,19 @@ def connected_components(links: DataFrame) -> DataFrame:
         smallest = directed.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         return directed.join(smallest, a == F.col("k"))
 
-    def store(pairs: DataFrame) -> DataFrame:
+    def kept(pairs: DataFrame) -> DataFrame:
         return store(pairs.filter(a != b).distinct(), "links")
 
     def mark(pairs: DataFrame):
         return tuple(pairs.agg(F.count("a"), F.expr("bit_xor(xxhash64(a, b))")).first())
 
-    now = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    now = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     seen = mark(now)
     while seen[0]:
         both = now.union(now.select(b.alias("a"), a.alias("b")))
-        now = store(hand_over(both).filter(b > a).select(b.alias("a"), F.col("m").alias("b")))
+        now = kept(hand_over(both).filter(b > a).select(b.alias("a"), F.col("m").alias("b")))
         small = hand_over(now)
-        now = store(small.select(b.alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))))
+        now = kept(small.select(b.alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))))
         before, seen = seen, mark(now)
         if before == seen:
             break
