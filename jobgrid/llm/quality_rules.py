@@ -87,13 +87,12 @@ def measure(docs: DataFrame, text_col: str = "text", out: str = "quality") -> Da
 def failures(m: str) -> dict[str, Column]:
     """Each rule's failure as a condition on the struct column ``m``."""
     f = lambda x: F.col(f"{m}.{x}")
-    mean = f("word_chars") / f("n_words")
     return {
         "short": f("n_words") < 50,
         "repeated": 100 * f("n_repeat_words") > 50 * f("n_words"),
         "symbols": 10 * f("n_symbols") > f("n_words"),
         "dup_lines": 10 * f("n_dup_lines") > 3 * f("n_lines"),
-        "word_length": (f("n_words") > 0) & ((mean < 3) | (mean > 12)),
+        "word_length": (f("word_chars") < 3 * f("n_words")) | (f("word_chars") > 12 * f("n_words")),
     }
 
 
