@@ -149,12 +149,6 @@ def search_log_line(ts, query, results) -> Column:
     return F.format_string('%s SEARCH query="%s" results=%d', iso_millis(ts), _c(query), _c(results))
 
 
-def case_insensitive(pattern) -> Column:
-    """JavaScript ``new RegExp(p, 'i')`` → Java ``(?iu)p``; ``(?i)`` alone is ASCII-only."""
-    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    return F.concat(F.lit("(?iu)"), p)
-
-
 def valid_object_id(x) -> Column:
     """24 hexadecimal characters."""
-    return F.coalesce(_c(x).rlike("^[0-9a-fA-F]{24}$"), F.lit(False))
+    return F.coalesce(_c(x).rlike(r"^[0-9a-fA-F]{24}\z"), F.lit(False))

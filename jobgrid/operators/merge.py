@@ -40,14 +40,10 @@ def dedupe_keys(df: DataFrame, order=LISTING_ORDER, id_col: str = "job_id") -> D
 def dedupe(df: DataFrame, order=LISTING_ORDER, id_col: str = "job_id") -> tuple[DataFrame, DataFrame]:
     """Keep the first row per dedupe key in insertion order; return
     ``(kept, removed)``.  Never ``dropDuplicates`` (it keeps an arbitrary row)."""
-    w = Window.partitionBy("_dk").orderBy(*order)
-    kept = (
-        df.withColumn("_dk", dedupe_key())
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") == 1)
-        .drop("_dk", "_rn")
-    )
-    removed = df.join(kept.select(id_col), id_col, "left_anti")
+    w = Window.partitionBy("_dk").orderBy(*order, *([id_col] if id_col not in order else []))
+    ranked = df.withColumn("_dk", dedupe_key()).withColumn("_rn", F.row_number().over(w))
+    kept = ranked.filter(F.col("_rn") == 1).drop("_dk", "_rn")
+    removed = ranked.filter(F.col("_rn") > 1).drop("_dk", "_rn")
     return kept, removed
 
 

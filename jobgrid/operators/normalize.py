@@ -337,12 +337,13 @@ def unify(*frames: DataFrame) -> DataFrame:
 
 def assign_job_ids(df: DataFrame) -> DataFrame:
     """Stable 24-hex ids for records that carry none (D10): a hash of
-    (source, title, company, job_url) plus the repeat number of that tuple
-    within its page, so a refresh re-derives the same id."""
-    rep = F.row_number().over(
-        Window.partitionBy("run_id", "source", "page", "title", "company", "job_url").orderBy("pos")
-    )
-    h = F.substring(
-        F.sha2(F.concat_ws("\u0001", "source", "title", "company", "job_url", rep.cast("string")), 256), 1, 24
-    )
-    return df.withColumn("job_id", F.coalesce("job_id", h))
+    (source, title, company, job_url), each with its length or a null mark,
+    and of the repeat number of that tuple over all runs and pages, in order;
+    so equal records on two pages differ, a null differs from an empty field,
+    and the same pages give the same ids."""
+    fields = ("source", "title", "company", "job_url")
+    rep = F.row_number().over(Window.partitionBy(*fields).orderBy("run_id", "page", "pos"))
+    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in fields]
+    h = F.substring(F.sha2(F.concat(*marked, F.lit("#"), rep.cast("string")), 256), 1, 24)
+    own = df.filter(F.col("job_id").isNotNull())
+    return own.unionByName(df.filter(F.col("job_id").isNull()).withColumn("job_id", h))

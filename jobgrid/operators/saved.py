@@ -1,14 +1,14 @@
 """Bookmarks: saved list, request classification and application (SURVEY
 §2.4, §2.8).
 
-Per-pair steps are aggregates with a map-side partial stage (a user hammering
-one job collapses before the shuffle); joins back to request rows are on the
-unique ``request_id``.
+Applying a batch is an aggregate per pair with a map-side partial stage (a
+user hammering one job collapses before the shuffle); classifying it needs every
+request, in order, and is one window per pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobgrid.functions.text import valid_object_id
@@ -31,53 +31,43 @@ def saved_count(listings: DataFrame, saved: DataFrame) -> DataFrame:
     return live.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_saved"))
 
 
-def _checked(requests: DataFrame, listings: DataFrame | None, saved: DataFrame) -> DataFrame:
-    r = requests.withColumn("_valid", valid_object_id("job_id"))
-    if listings is not None:
-        found = listings.select("job_id").withColumn("_found", F.lit(True))
-        r = r.join(found, "job_id", "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
-    pre = saved.select(*PAIR).withColumn("_pre", F.lit(True))
-    return r.join(pre, PAIR, "left").withColumn("_pre", F.coalesce("_pre", F.lit(False)))
-
+def classify_requests(requests: DataFrame, listings: DataFrame, saved: DataFrame) -> DataFrame:
+    """Save and unsave requests → status, equal to serving them one by one in
+    ``(ts, request_id)`` order.  Save: ``invalid_id`` / ``not_found`` /
+    ``already_saved`` / ``created``; unsave: ``invalid_id`` / ``not_found`` /
+    ``removed``, checked in that order.
 
-def _first_per_pair(r: DataFrame, cond) -> DataFrame:
-    """request_id of the earliest request per pair among rows meeting ``cond``."""
-    return (
-        r.filter(cond)
-        .groupBy(*PAIR)
-        .agg(F.min(F.struct("ts", "request_id")).alias("_f"))
-        .select(F.col("_f.request_id").alias("request_id"), F.lit(True).alias("_first"))
+    A pair is saved before a request if the last effective request for it was
+    a save, or, with none, if the saved table has it: one ``lag`` over the
+    pair.  Only valid rows are joined, so malformed ids never meet in a task."""
+    r = requests.filter(F.col("action").isin("save", "unsave"))
+    is_save = F.col("action") == "save"
+    valid = valid_object_id("job_id")
+    found = listings.select("job_id").withColumn("_found", F.lit(True))
+    pre = saved.select(*PAIR).withColumn("_pre", F.lit(True))
+    ok = r.filter(valid).join(found, "job_id", "left").join(pre, PAIR, "left")
+    effective = ok.filter(~is_save | F.col("_found").isNotNull())
+    order = Window.partitionBy(*PAIR).orderBy("ts", "request_id")
+    held = F.coalesce(F.lag("action").over(order) == "save", F.col("_pre"), F.lit(False))
+    out = ("request_id", "user_id", "job_id", "action")
+    served = effective.withColumn("_held", held).select(
+        *out,
+        F.when(is_save & F.col("_held"), "already_saved").when(is_save, "created")
+        .when(F.col("_held"), "removed").otherwise("not_found").alias("status"),
     )
+    missing = ok.filter(is_save & F.col("_found").isNull()).select(*out, F.lit("not_found").alias("status"))
+    invalid = r.filter(~valid).select(*out, F.lit("invalid_id").alias("status"))
+    return served.unionByName(missing).unionByName(invalid)
 
 
 def classify_saves(requests: DataFrame, listings: DataFrame, saved: DataFrame) -> DataFrame:
-    """Save requests → ``invalid_id`` / ``not_found`` / ``already_saved`` /
-    ``created``, checked in that order; the first valid request for a pair
-    creates it, later ones find it saved."""
-    r = _checked(requests.filter(F.col("action") == "save"), listings, saved)
-    first = _first_per_pair(r, F.col("_valid") & F.col("_found"))
-    r = r.join(first, "request_id", "left")
-    status = (
-        F.when(~F.col("_valid"), "invalid_id")
-        .when(~F.col("_found"), "not_found")
-        .when(F.col("_pre") | F.col("_first").isNull(), "already_saved")
-        .otherwise("created")
-    )
-    return r.select("request_id", "user_id", "job_id", status.alias("status"))
-
-
-def classify_unsaves(requests: DataFrame, saved: DataFrame) -> DataFrame:
-    """Unsave requests → ``invalid_id`` / ``not_found`` / ``removed``; the
-    first unsave of an existing mapping removes it, later ones find nothing."""
-    r = _checked(requests.filter(F.col("action") == "unsave"), None, saved)
-    first = _first_per_pair(r, F.col("_valid") & F.col("_pre"))
-    r = r.join(first, "request_id", "left")
-    status = (
-        F.when(~F.col("_valid"), "invalid_id")
-        .when(F.col("_first").isNull(), "not_found")
-        .otherwise("removed")
-    )
-    return r.select("request_id", "user_id", "job_id", status.alias("status"))
+    """The save requests' statuses, the unsaves between them applied."""
+    return classify_requests(requests, listings, saved).filter(F.col("action") == "save").drop("action")
+
+
+def classify_unsaves(requests: DataFrame, listings: DataFrame, saved: DataFrame) -> DataFrame:
+    """The unsave requests' statuses, the saves between them applied."""
+    return classify_requests(requests, listings, saved).filter(F.col("action") == "unsave").drop("action")
 
 
 def apply_requests(saved: DataFrame, requests: DataFrame, listings: DataFrame, actions=("save", "unsave")) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from jobgrid.functions.text import strip_ws, tag_list
 
 # Sign-up rules and defaults.
-EMAIL_RE = r"(?U)^[^\s@]+@[^\s@]+\.[^\s@]+$"
-MOBILE_RE = r"^[6-9][0-9]{9}$"
+EMAIL_RE = r"(?U)^[^\s@]+@[^\s@]+\.[^\s@]+\z"
+MOBILE_RE = r"^[6-9]\d{9}\z"
 WORK_STATUSES = ("fresher", "experienced")
 DEFAULTS = {
     "work_status": "fresher",
@@ -173,10 +173,18 @@ def user_summary(users: DataFrame) -> DataFrame:
     )
 
 
-def patch_users(users: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
+def _arrival(df: DataFrame, order: list[str] | None) -> Column:
+    """Order of a batch's rows: the named columns, else as they came."""
+    return F.struct(*order) if order else F.struct(F.monotonically_increasing_id().alias("n"))
+
+
+def patch_users(users: DataFrame, patches: DataFrame, fields: list[str], order: list[str] | None = None) -> DataFrame:
     """Overlay the fields present in each user's patch map: a present key
-    sets its value (even null or ''), an absent key keeps the field."""
-    p = patches.select("user_id", F.col("patch").alias("_p"))
+    sets its value (even null or ''), an absent key keeps the field.  Several
+    patches of a user apply in ``order``: the last that has a key sets it."""
+    each = patches.select("user_id", _arrival(patches, order).alias("_o"), F.explode("patch").alias("k", "v"))
+    last = each.groupBy("user_id", "k").agg(F.max_by(F.struct("v"), "_o").alias("_v"))
+    p = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "_v.v"))).alias("_p"))
     j = users.join(p, "user_id", "left")
     cols = [
         F.when(F.coalesce(F.map_contains_key("_p", F.lit(c)), F.lit(False)), F.col("_p")[c]).otherwise(F.col(c)).alias(c)
@@ -187,9 +195,11 @@ def patch_users(users: DataFrame, patches: DataFrame, fields: list[str]) -> Data
     return j.select(*cols)
 
 
-def replace_array(users: DataFrame, field: str, values: DataFrame) -> DataFrame:
-    """Replace one array field for the users in ``values(user_id, <field>)``."""
-    v = values.select("user_id", F.col(field).alias("_new"))
+def replace_array(users: DataFrame, field: str, values: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Replace one array field for the users in ``values(user_id, <field>)``;
+    of several values for a user the last in ``order`` stays."""
+    v = values.select("user_id", F.struct(F.col(field).alias("x")).alias("_x"), _arrival(values, order).alias("_o"))
+    v = v.groupBy("user_id").agg(F.max_by("_x", "_o").alias("_x")).select("user_id", F.col("_x.x").alias("_new"))
     j = users.join(v, "user_id", "left")
     return j.select(*[F.coalesce("_new", F.col(c)).alias(c) if c == field else F.col(c) for c in users.columns])
 

@@ -53,17 +53,23 @@ _CHECKED = {
 }
 
 
+_SERVED = {
+    **_CHECKED,
+    "e": """SELECT *, lag(action) OVER (PARTITION BY user_id, job_id ORDER BY ts, request_id) AS prev
+            FROM c WHERE valid AND (action = 'unsave' OR found)""",
+    "s": """SELECT c.request_id, c.user_id, c.job_id, c.action,
+              CASE WHEN NOT c.valid THEN 'invalid_id' WHEN e.request_id IS NULL THEN 'not_found'
+                   WHEN c.action = 'save' THEN CASE WHEN coalesce(e.prev = 'save', c.pre) THEN 'already_saved' ELSE 'created' END
+                   WHEN coalesce(e.prev = 'save', c.pre) THEN 'removed' ELSE 'not_found' END AS status
+            FROM c LEFT JOIN e ON c.request_id = e.request_id WHERE c.action IN ('save', 'unsave')""",
+}
+
+
 @register(
     "save_requests_classify",
-    """SELECT c.request_id, c.user_id, c.job_id,
-         CASE WHEN NOT c.valid THEN 'invalid_id' WHEN NOT c.found THEN 'not_found'
-              WHEN c.pre OR f.first_rid IS NULL THEN 'already_saved' ELSE 'created' END AS status
-       FROM c LEFT JOIN (SELECT arg_min(request_id, (ts, request_id)) AS first_rid FROM c
-                         WHERE action = 'save' AND valid AND found GROUP BY user_id, job_id) f
-         ON c.request_id = f.first_rid
-       WHERE c.action = 'save'""",
+    "SELECT request_id, user_id, job_id, status FROM s WHERE action = 'save'",
     ("listings", "saved_jobs", "requests"),
-    _CHECKED,
+    _SERVED,
 )
 def save_requests_classify(spark, d):
     return saved.classify_saves(R(spark, d), L(spark, d), S(spark, d))
@@ -71,17 +77,12 @@ def save_requests_classify(spark, d):
 
 @register(
     "unsave_requests_classify",
-    """SELECT c.request_id, c.user_id, c.job_id,
-         CASE WHEN NOT c.valid THEN 'invalid_id' WHEN f.first_rid IS NULL THEN 'not_found' ELSE 'removed' END AS status
-       FROM c LEFT JOIN (SELECT arg_min(request_id, (ts, request_id)) AS first_rid FROM c
-                         WHERE action = 'unsave' AND valid AND pre GROUP BY user_id, job_id) f
-         ON c.request_id = f.first_rid
-       WHERE c.action = 'unsave'""",
+    "SELECT request_id, user_id, job_id, status FROM s WHERE action = 'unsave'",
     ("listings", "saved_jobs", "requests"),
-    _CHECKED,
+    _SERVED,
 )
 def unsave_requests_classify(spark, d):
-    return saved.classify_unsaves(R(spark, d), S(spark, d))
+    return saved.classify_unsaves(R(spark, d), L(spark, d), S(spark, d))
 
 
 def apply_sql(actions: tuple[str, ...]) -> tuple[str, dict]:

@@ -78,11 +78,6 @@ def is_local_path(p: str) -> bool:
     return p.startswith("/") or p.startswith("file:")
 
 
-def ensure_parent(p: str) -> None:
-    if is_local_path(p):
-        os.makedirs(p.replace("file:", ""), exist_ok=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Spread an under-split scan over the cluster's cores.
 

@@ -13,10 +13,12 @@ job_id>``, so one body holds a bounded slice of a day's page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobgrid.session import cut_lineage
+
 
 # Fixed values of the sources: page windows, page sizes, failure policies,
 # upsert keys, time encoding of the scrape time, and run order.
@@ -87,16 +89,20 @@ def page_policy(rows: DataFrame, config: DataFrame) -> DataFrame:
     ``rows`` holds any number of rows per page with ``run_id, source, page``
     and the page flags ``bad`` and ``empty``.  *skip*: a bad page is dropped,
     later ones kept.  *stop*: nothing at or after the first bad or empty page
-    of the run.  The first stop page is ``min(..) OVER (PARTITION BY run_id,
-    source)``: one pass, and a partition is one run of one source, whose size
-    the source's page window bounds."""
+    of the run.
+
+    The first stop page of each (run, stop source) is an aggregate of page
+    flags, written as a small table; Spark sees its size and broadcasts it
+    while it is small, so the rows themselves are not shuffled.  Sources that
+    skip need a filter only."""
     c = F.broadcast(config.select("source", "policy"))
-    stop = F.when((F.col("policy") == "stop") & (F.col("bad") | F.col("empty")), F.col("page"))
-    first_stop = F.min(stop).over(Window.partitionBy("run_id", "source"))
+    rows = rows.join(c, "source")
+    stops = rows.filter((F.col("policy") == "stop") & (F.col("bad") | F.col("empty")))
+    first = cut_lineage(stops.groupBy("run_id", "source").agg(F.min("page").alias("_stop")), "stop-pages")
     keep = F.when(
         F.col("policy") == "stop", F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))
     ).otherwise(~F.col("bad"))
-    return rows.join(c, "source").withColumn("_stop", first_stop).filter(keep).drop("_stop", "policy")
+    return rows.join(first, ["run_id", "source"], "left").filter(keep).drop("_stop", "policy")
 
 
 # ---- fixture bodies ---------------------------------------------------------------

@@ -98,15 +98,13 @@ def _valid(j):
     return len(j) == 24 and all(c in "0123456789abcdefABCDEF" for c in j)
 
 
-def model_classify(pre, reqs, listings, action):
+def model_classify(pre, reqs, listings):
     state = set(pre)
     out = {}
     for rid, ts, u, a, j in sorted(reqs, key=lambda r: (r[1], r[0])):
-        if a != action:
-            continue
         if not _valid(j):
             out[rid] = "invalid_id"
-        elif action == "save":
+        elif a == "save":
             if j not in listings:
                 out[rid] = "not_found"
             elif (u, j) in state:
@@ -139,9 +137,11 @@ def test_classification_equals_sequential(spark, reqs, pre):
     s = spark.createDataFrame([(u, j, base) for u, j in sorted(pre)], "user_id long, job_id string, saved_at timestamp_ntz")
     lst = spark.createDataFrame([(j,) for j in sorted(listings)], "job_id string")
     got_s = {x.request_id: x.status for x in saved.classify_saves(r, lst, s).collect()}
-    got_u = {x.request_id: x.status for x in saved.classify_unsaves(r, s).collect()}
-    assert got_s == model_classify(pre, req_rows, listings, "save")
-    assert got_u == model_classify(pre, req_rows, listings, "unsave")
+    got_u = {x.request_id: x.status for x in saved.classify_unsaves(r, lst, s).collect()}
+    want = model_classify(pre, req_rows, listings)
+    action = {x[0]: x[3] for x in req_rows}
+    assert got_s == {i: x for i, x in want.items() if action[i] == "save"}
+    assert got_u == {i: x for i, x in want.items() if action[i] == "unsave"}
 
 
 @SETTINGS
