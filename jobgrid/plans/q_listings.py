@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from jobgrid.operators import aggregates as agg
@@ -101,6 +103,39 @@ def page_load_more(spark, d):
     return paging.load_more(filters.list_filtered(L(spark, d), source=LOAD_MORE_SOURCE), LOAD_MORE_PAGES, PAGE_LIMIT)
 
 
+_LAST = ("2024-02-01", 3, "8")  # key of the row that a client saw last
+
+
+@register(
+    "page_after",
+    _sel(f"(scraped_date, page, job_id) > (DATE '{_LAST[0]}', {_LAST[1]}, '{_LAST[2]}')")
+    + f" ORDER BY scraped_date, page, job_id LIMIT {PAGE_LIMIT}",
+    ("listings",),
+)
+def page_after(spark, d):
+    day, page_no, job = _LAST
+    return paging.after(L(spark, d), (dt.date.fromisoformat(day), page_no, job), PAGE_LIMIT)
+
+
+@register(
+    "counts",
+    "SELECT count(*) AS total, count(DISTINCT source) AS sources_count, "
+    "array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM listings",
+    ("listings",),
+)
+def counts(spark, d):
+    return agg.counts(L(spark, d))
+
+
+@register(
+    "delete_report",
+    "SELECT source, count(*) AS deleted FROM listings WHERE source IN ('Unstop', 'LinkedIn') GROUP BY source",
+    ("listings",),
+)
+def delete_report(spark, d):
+    return merge.delete_report(L(spark, d), "Unstop", "LinkedIn")
+
+
 @register("count_total", "SELECT count(*) AS total FROM listings", ("listings",))
 def count_total(spark, d):
     return agg.count_total(L(spark, d))

@@ -278,3 +278,16 @@ def delete_users(spark, d):
     u = U(spark, d)
     bad = ops.validate(u).filter(F.col("failed").contains("email")).select("user_id")
     return ops.delete_users(u, bad).select("user_id", "name", "email")
+
+
+@register(
+    "delete_users_cascade",
+    f"""SELECT user_id, job_id, saved_at FROM saved_jobs s WHERE user_id NOT IN (
+          SELECT user_id FROM users WHERE NOT (email IS NOT NULL AND regexp_matches({_S('email')}, '{_EMAIL_RX}')))""",
+    ("users", "saved_jobs"),
+)
+def delete_users_cascade(spark, d):
+    """The saved mappings that stay when the accounts go with theirs."""
+    u = U(spark, d)
+    bad = ops.validate(u).filter(F.col("failed").contains("email")).select("user_id")
+    return ops.delete_users(u, bad, S(spark, d), cascade=True)[1].select("user_id", "job_id", "saved_at")
