@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrid.llm import ann, bpe, frames, license_scan, packing, quality_rules, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
+from jobgrid.llm import ann, bpe, frames, license_scan, oracles, packing, quality_rules, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-@query("op3_quality_rules")
+@query("op3_quality_rules", oracles.QUALITY_RULES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, m = quality_rules.judge(table(spark, sf_dir, "documents"), columns=["doc_id"])
     cols = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
@@ -70,7 +70,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op5_suffix_dedup")
+@query("op5_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = frames.text_of()
@@ -87,7 +87,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = frames.text_of()
