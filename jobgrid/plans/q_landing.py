@@ -14,7 +14,7 @@ from jobgrid.operators import normalize as N
 from jobgrid.plans.catalog import register, sql_strip
 from jobgrid.sources import fixtures as fx
 from jobgrid.sources import html as H
-from jobgrid.sources.landing import LANDING_SCHEMA, build_landing, scan_landing, source_config
+from jobgrid.sources.landing import LANDING_SCHEMA, build_landing, outside_window, scan_landing, source_config
 
 SOURCES = ("Internshala", "Unstop", "Naukri", "Indeed", "LinkedIn")
 
@@ -28,7 +28,7 @@ def landing_pages(spark, d):
 
 
 def landing(spark, d):
-    """Windowed landing pages."""
+    """All landed pages."""
     return scan_landing(landing_pages(spark, d), source_config(spark))
 
 
@@ -45,9 +45,7 @@ _LAND = {
     "lr0": """SELECT l.*, concat(substr(CAST(scraped_date AS varchar), 1, 7), '/', substr(job_id, 1, sk.k)) AS run_id
               FROM listings l, sk""",
     "lr": "SELECT *, min(scraped_date) OVER (PARTITION BY run_id, source, page) AS run_day FROM lr0",
-    "win": """SELECT DISTINCT run_id, source, page, CASE WHEN page = 4 THEN 500 ELSE 200 END AS status FROM lr
-              WHERE page >= 1 AND page <= CASE source WHEN 'Internshala' THEN 5 WHEN 'Unstop' THEN 10
-                    WHEN 'Naukri' THEN 5 WHEN 'Indeed' THEN 25 ELSE page END""",
+    "win": "SELECT DISTINCT run_id, source, page, CASE WHEN page = 4 THEN 500 ELSE 200 END AS status FROM lr",
     "bad": """SELECT *, (page = 4 OR (source = 'Naukri' AND page = 2 AND run_id LIKE '%-03/%')) AS bad FROM win""",
     "fb": """SELECT run_id, source, min(page) AS stop FROM bad WHERE bad AND source IN ('Indeed', 'LinkedIn')
              GROUP BY run_id, source""",
@@ -147,6 +145,20 @@ def q_scan_landing(spark, d):
     return landing(spark, d).select("run_id", "source", "page", "status")
 
 
+_WINDOW = """page <= CASE source WHEN 'Internshala' THEN 5 WHEN 'Unstop' THEN 10 WHEN 'Naukri' THEN 5
+             WHEN 'Indeed' THEN 25 ELSE page END"""
+
+
+@register("scan_landing_window", f"SELECT run_id, source, page, status FROM win WHERE {_WINDOW}", ("listings",), _LAND)
+def q_scan_landing_window(spark, d):
+    return scan_landing(landing_pages(spark, d), source_config(spark), window=True).select("run_id", "source", "page", "status")
+
+
+@register("landing_outside_window", f"SELECT run_id, source, page, 'outside the page window' AS reason FROM win WHERE NOT ({_WINDOW})", ("listings",), _LAND)
+def q_outside_window(spark, d):
+    return outside_window(landing_pages(spark, d), source_config(spark)).select("run_id", "source", "page", "reason")
+
+
 @register("page_policy", "SELECT run_id, source, page, status FROM kept", ("listings",), _LAND)
 def q_page_policy(spark, d):
     from jobgrid.sources.landing import page_policy

@@ -63,24 +63,35 @@ def source_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SOURCE_CONFIG, CONFIG_SCHEMA)
 
 
-def scan_landing(landing: DataFrame, config: DataFrame) -> DataFrame:
-    """Pages of each source inside its page window."""
+def _inside_window(landing: DataFrame, config: DataFrame) -> DataFrame:
     c = F.broadcast(config.select("source", "first_page", "last_page"))
-    return (
-        landing.join(c, "source")
-        .filter((F.col("page") >= F.col("first_page")) & (F.col("page") <= F.coalesce("last_page", "page")))
-        .drop("first_page", "last_page")
-    )
+    inside = (F.col("page") >= F.col("first_page")) & (F.col("page") <= F.coalesce("last_page", "page"))
+    return landing.join(c, "source").withColumn("_inside", inside).drop("first_page", "last_page")
+
+
+def scan_landing(landing: DataFrame, config: DataFrame, window: bool = False) -> DataFrame:
+    """Landed pages of the known sources.  The page windows bound what is
+    fetched; a page that has landed is data, so all are read unless ``window``
+    asks for those inside (``outside_window`` gives the others)."""
+    if not window:
+        return landing.join(F.broadcast(config.select("source")), "source", "left_semi")
+    return _inside_window(landing, config).filter("_inside").drop("_inside")
+
+
+def outside_window(landing: DataFrame, config: DataFrame) -> DataFrame:
+    """What ``scan_landing(window=True)`` leaves out, with the reason."""
+    out = _inside_window(landing, config).filter(~F.col("_inside")).drop("_inside")
+    return out.withColumn("reason", F.lit("outside the page window"))
 
 
 def read_landing(spark: SparkSession, path: str, run_id: str | None = None,
-                 config: DataFrame | None = None) -> DataFrame:
-    """Landing pages from Parquet (partitioned by ``source``), windowed; one
-    run's pages when ``run_id`` is given (a pushed-down equality filter)."""
+                 config: DataFrame | None = None, window: bool = False) -> DataFrame:
+    """Landing pages from Parquet (partitioned by ``source``); one run's pages
+    when ``run_id`` is given (a pushed-down equality filter)."""
     df = spark.read.schema(LANDING_SCHEMA).parquet(path)
     if run_id is not None:
         df = df.filter(F.col("run_id") == run_id)
-    return scan_landing(df, config if config is not None else source_config(spark))
+    return scan_landing(df, config if config is not None else source_config(spark), window)
 
 
 def page_policy(rows: DataFrame, config: DataFrame) -> DataFrame:
