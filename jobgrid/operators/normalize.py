@@ -93,6 +93,19 @@ def str_or_field(v: Column, key: str) -> Column:
     return F.when(is_object(v), vget(v, f"$.{key}")).otherwise(vget(v, "$"))
 
 
+def number_text(v: Column) -> Column:
+    """A JSON value as Python prints it: an integer plainly, a number with a
+    fraction or exponent as a float (``50000.0``, ``10000000.0``, ``1.5e+20``),
+    text as it is."""
+    d = vget(v, "$", "double")
+    whole = F.concat(F.format_string("%.0f", d), F.lit(".0"))
+    broken = F.regexp_replace(d.cast("string").cast("decimal(38,14)").cast("string"), "0+$", "")
+    wide = F.regexp_replace(F.regexp_replace(d.cast("string"), r"\.0E", "E"), r"E(\d)", "e+$1")
+    as_float = F.when(F.abs(d) >= 1e16, wide).when(d == F.floor(d), whole).otherwise(broken)
+    kind = F.schema_of_variant(v)
+    return F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), as_float).otherwise(vget(v, "$"))
+
+
 def truthy(v: Column) -> Column:
     """Python truthiness of a JSON value (null, '', {}, [], 0, false are falsy)."""
     j = F.to_json(v)
@@ -227,7 +240,7 @@ def norm_indeed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(vget(r, "$.employer_name"), F.lit(NA)).alias("company"),
         F.when(parts != "", parts).otherwise(country).alias("location"),
         salary_text(
-            vget(r, "$.job_min_salary"), vget(r, "$.job_max_salary"),
+            number_text(vget(r, "$.job_min_salary", "variant")), number_text(vget(r, "$.job_max_salary", "variant")),
             vget(r, "$.job_salary_period"), vget(r, "$.job_salary_currency"),
         ).alias("stipend"),
         F.lit("Permanent").alias("duration"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
+from jobgrid.functions.text import salary_text
 from jobgrid.operators import normalize as N
 from jobgrid.sources import html as H
 from jobgrid.sources.landing import LANDING_SCHEMA, scan_landing, source_config
@@ -136,3 +139,14 @@ def test_selector_subset():
     root = H.parse('<nav><ul><li><a href="/x">X</a></li></ul></nav><ul><li>out</li></ul><i id="k" data-v></i>')
     assert [H.text(x) for x in H.select(root, "nav li")] == ["X"]
     assert len(H.select(root, "#k")) == 1 and len(H.select(root, "i[data-v]")) == 1
+
+
+def test_salary_numbers_print_as_the_source_prints_them(spark):
+    cases = {"50000.0": "50000.0", "1e7": "10000000.0", "50000": "50000", '"9k"': "9k", "1234.50": "1234.5", "1.5e20": "1.5e+20",
+             "0.0": "0.0", "0": "0", "12345678.25": "12345678.25", "null": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "j string")
+    got = {r.j: r.t for r in rows.select("j", N.number_text(F.try_parse_json("j")).alias("t")).collect()}
+    assert got == cases
+    text = rows.select("j", salary_text(N.number_text(F.try_parse_json("j")), F.lit(None).cast("string"), F.lit("YEAR"), F.lit(None).cast("string")).alias("t"))
+    got = {r.j: r.t for r in text.collect()}
+    assert got["50000.0"] == "INR 50000.0 / YEAR" and got["0.0"] == got["0"] == got["null"] == "Not Disclosed"
