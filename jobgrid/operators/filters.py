@@ -17,19 +17,109 @@ from pyspark.sql import functions as F
 from jobgrid.functions.text import contains_ci
 
 
-# Python-only group syntax that Java's regex engine rejects.
-_PY_ONLY = re.compile(r"\(\?P[<=>]")
+_COUNT = re.compile(r"\{\d+(,\d*)?\}")
+_GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z][A-Za-z0-9]*>)")
+_SAME_ESCAPES = "dDwWsSbBtnrf0"
+_HEX = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4})")
 
 
-def check_pattern(p: str) -> str:
-    """Reject a malformed pattern before any job runs (D8)."""
+def _escape(p: str, i: int, groups: int) -> tuple[str, int] | None:
+    """The escape at ``i`` for Java, and its length."""
+    if i + 1 == len(p):
+        return None
+    if m := _HEX.match(p, i):
+        return m[0], len(m[0])
+    c = p[i + 1]
+    if c in _SAME_ESCAPES:
+        return "\\" + c, 2
+    if c == "v":
+        return r"\x0B", 2
+    if c.isdigit():
+        return ("\\" + c, 2) if int(c) <= groups else None
+    return (c if c.isalpha() else "\\" + c), 2  # any other letter stands for itself
+
+
+def _class(p: str, i: int, groups: int) -> tuple[str, int] | None:
+    """The character class at ``i`` for Java, and its length."""
+    j = i + 1
+    out = "["
+    if p[j : j + 1] == "^":
+        out, j = "[^", j + 1
+    if p[j : j + 1] == "]":
+        return ("(?!)" if out == "[" else r"[\s\S]"), j + 1 - i
+    while j < len(p) and p[j] != "]":
+        if p[j] == "\\":
+            got = (r"\x08", 2) if p[j + 1 : j + 2] == "b" else _escape(p, j, groups)
+            if got is None:
+                return None
+            out, j = out + got[0], j + got[1]
+        else:
+            out, j = out + ("\\" + p[j] if p[j] in "[&~^" else p[j]), j + 1
+    if j == len(p):
+        return None
     try:
-        re.compile(p)
-    except re.error as e:  # pragma: no cover - message path
-        raise ValueError(f"invalid search pattern {p!r}: {e}") from None
-    if _PY_ONLY.search(p):
-        raise ValueError(f"invalid search pattern {p!r}: (?P...) groups are not supported")
-    return p
+        re.compile(out + "]")  # ranges in order
+    except re.error:
+        return None
+    return out + "]", j + 1 - i
+
+
+def java_pattern(p: str) -> str | None:
+    """A JavaScript pattern (no ``u`` flag) written for Java's engine, null if
+    JavaScript rejects it.  The same text can mean different things to the two:
+    ``[[]``, ``a{,2}`` and ``\\p`` are literal there, ``c++`` is an error, ``$``
+    is only the very end."""
+    groups = len(re.findall(r"(?<!\\)\((?!\?[^<]|\?<[=!])", p))
+    out: list[str] = []
+    i = depth = 0
+    repeatable = False
+    while i < len(p):
+        c = p[i]
+        size, was, repeatable = 1, repeatable, True
+        if c in "\\[":
+            got = _escape(p, i, groups) if c == "\\" else _class(p, i, groups)
+            if got is None:
+                return None
+            piece, size = got
+            repeatable = piece not in (r"\b", r"\B")
+        elif c in "*+?" or (c == "{" and _COUNT.match(p, i)):
+            piece = _COUNT.match(p, i)[0] if c == "{" else c
+            if not was:
+                return None
+            if c == "{" and "," in piece[:-2] and int(piece[1:-1].split(",")[0]) > int(piece[1:-1].split(",")[1]):
+                return None
+            size = len(piece)
+            if p[i + size : i + size + 1] == "?":
+                piece, size = piece + "?", size + 1
+            repeatable = False
+        elif c == "(":
+            m = _GROUP.match(p, i)
+            if m is None and p[i + 1 : i + 2] == "?":
+                return None
+            piece = m[0] if m else "("
+            size, depth, repeatable = len(piece), depth + 1, False
+        elif c == ")":
+            piece, depth = ")", depth - 1
+            if depth < 0:
+                return None
+        elif c in "^|$":
+            piece, repeatable = (r"\z" if c == "$" else c), False
+        elif c == ".":
+            piece = r"[^\n\r\u2028\u2029]"
+        else:
+            piece = "\\" + c if c in "{}]" else c
+        out.append(piece)
+        i += size
+    return None if depth else "".join(out)
+
+
+def check_pattern(p: str) -> str:
+    """The pattern for the engine that runs it; a malformed one is rejected
+    before any job runs (D8)."""
+    java = java_pattern(p)
+    if java is None:
+        raise ValueError(f"invalid search pattern {p!r}")
+    return java
 
 
 def matches(col: str | Column, q: str, mode: str = "regex") -> Column:

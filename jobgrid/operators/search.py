@@ -18,21 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobgrid.operators.filters import check_pattern
+from jobgrid.operators.filters import java_pattern
 
 FIELDS = ("title", "company", "location")
 
 
-def _valid(p: str) -> bool:
-    try:
-        check_pattern(p)
-        return True
-    except ValueError:
-        return False
-
-
-def _hit(p: str):
-    pat = "(?iu)" + p
+def _hit(java: str):
+    pat = "(?iu)" + java
     return F.coalesce(
         F.col("title").rlike(pat) | F.col("company").rlike(pat) | F.col("location").rlike(pat), F.lit(False)
     )
@@ -51,8 +43,8 @@ def query_hits(listings: DataFrame, qs: DataFrame, literal_max: int = 512) -> Da
         for i, q in enumerate(texts):
             if q == "":
                 e = F.count(F.lit(1))
-            elif _valid(q):
-                e = F.count_if(_hit(q))
+            elif (java := java_pattern(q)) is not None:
+                e = F.count_if(_hit(java))
             else:
                 e = F.lit(None).cast("bigint")
             cols.append(e.alias(f"c{i}"))
@@ -63,9 +55,10 @@ def query_hits(listings: DataFrame, qs: DataFrame, literal_max: int = 512) -> Da
     return _theta(listings, distinct, n, literal_max)
 
 
-def _check_patterns(qs: pd.Series) -> pd.Series:
-    """Pattern check over the distinct query texts (never per listing)."""
-    return qs.map(lambda q: q is not None and _valid(q))
+def _patterns(qs: pd.Series) -> pd.Series:
+    """Each distinct query (never per listing) for the engine that runs it,
+    null for a malformed one."""
+    return qs.map(java_pattern, na_action="ignore")
 
 
 def _theta(listings: DataFrame, distinct: DataFrame, n: int, chunk: int) -> DataFrame:
@@ -73,17 +66,18 @@ def _theta(listings: DataFrame, distinct: DataFrame, n: int, chunk: int) -> Data
     n_chunks = -(-n // chunk)
     qd = (
         distinct.filter(F.col("q").isNotNull())
-        .withColumn("_ok", F.pandas_udf(_check_patterns, T.BooleanType())("q"))
+        .withColumn("_java", F.pandas_udf(_patterns, T.StringType())("q"))
+        .withColumn("_ok", F.col("_java").isNotNull())
         .withColumn("_chunk", F.pmod(F.xxhash64("q"), F.lit(n_chunks)))
     )
     lst = listings.select(*FIELDS)
     total = lst.agg(F.count(F.lit(1)).alias("n")).scalar()
-    pat = F.concat(F.lit("(?iu)"), F.col("q"))
+    pat = F.concat(F.lit("(?iu)"), F.col("_java"))
     cond = F.rlike("title", pat) | F.rlike("company", pat) | F.rlike("location", pat)
     out = None
     for c in range(n_chunks):
         part = qd.filter(F.col("_chunk") == c)
-        probe = F.broadcast(part.filter((F.col("q") != "") & F.col("_ok")).select("q"))
+        probe = F.broadcast(part.filter((F.col("q") != "") & F.col("_ok")).select("q", "_java"))
         hits = lst.join(probe, cond, "inner").groupBy("q").agg(F.count(F.lit(1)).alias("results"))
         res = part.join(hits, "q", "left").select(
             "q",
