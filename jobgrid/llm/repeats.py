@@ -17,13 +17,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobgrid.llm.frames import store
 
-from jobgrid.llm.arrow import utf8
+from jobgrid.llm.arrow import utf8, values
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,6 +209,20 @@ def candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: i
     return found.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
 
 
+def deflated(text: Column) -> Column:
+    """The text's bytes compressed, to be shuffled."""
+
+    @F.arrow_udf("binary")
+    def deflate(texts: pa.Array) -> pa.Array:
+        return pa.array(list(map(zstandard.ZstdCompressor(level=3).compress, values(texts))), pa.binary())
+
+    return deflate(text)
+
+
+def inflated(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, values(column)))
+
+
 def one_of_each(texts: DataFrame, order: str = "t1") -> DataFrame:
     """One row of each text, that with the least ``order``; copies go before
     the shuffle as far as a task sees them."""
@@ -216,9 +231,10 @@ def one_of_each(texts: DataFrame, order: str = "t1") -> DataFrame:
 
 
 def with_candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: int, k: int, order: str = "t1") -> DataFrame:
-    """The texts that have candidate stretches, once each, with their
-    ``places``: a written table."""
-    return store(one_of_each(texts, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
+    """The texts that have candidate stretches, once each and ``deflated`` (z),
+    with their ``places``: a stored table."""
+    small = texts.select(*(c for c in texts.columns if c != "text"), deflated(F.col("text")).alias("z"))
+    return store(one_of_each(small, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

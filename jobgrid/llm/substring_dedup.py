@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobgrid.llm import repeats as R
-from jobgrid.llm.arrow import utf8, values
+from jobgrid.llm.arrow import values
 from jobgrid.llm.frames import store, text_of
 
 WORDS, GRAM = 50, 8
@@ -56,11 +56,11 @@ def _stretch_rows(n: int):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            at, data = utf8(batch.column("text"))
+            texts = R.inflated(batch.column("z"))
             d, t1, t2 = (batch.column(c).to_numpy() for c in ("d", "t1", "t2"))
             seen: dict[tuple[bytes, int], list[tuple[int, int]]] = defaultdict(list)
             for i, places in enumerate(batch.column("places")):
-                words = R.word_items(data[at[i] : at[i + 1]])
+                words = R.word_items(np.frombuffer(texts[i], np.uint8))
                 places = places.values.to_numpy()
                 for p, a, b, c in zip(places.tolist(), *(x.tolist() for x in R.unpacked(places))):
                     seen[words[a : b + n].tobytes(), c - a].append((i, p))
@@ -237,7 +237,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     def cut(batches):
         for b in batches:
             removed, kept = [], []
-            for text, spans in zip(values(b.column("text")), b.column("spans")):
+            for text, spans in zip(R.inflated(b.column("z")), b.column("spans")):
                 words = text.split()
                 s, e = R.merged(*(spans.values.field(x).to_numpy() for x in ("s", "e")))
                 bounds = [0, *np.stack([s, e], axis=1).ravel().tolist(), len(words)]
@@ -247,7 +247,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
                 [b.column("t1"), b.column("t2"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["t1", "t2", "removed", "kept"]
             )
 
-    return held.select("t1", "t2", "text").join(spans, ["t1", "t2"]).mapInArrow(cut, "t1 long, t2 long, removed long, kept string")
+    return held.select("t1", "t2", "z").join(spans, ["t1", "t2"]).mapInArrow(cut, "t1 long, t2 long, removed long, kept string")
 
 
 def copied_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrid.llm import repeats as R
-from jobgrid.llm.arrow import utf8, values
+from jobgrid.llm.arrow import values
 from jobgrid.llm.frames import free_name, store, text_of
 
 BYTES, GRAM, LEAD = 200, 50, 16
@@ -77,12 +77,11 @@ def _stretch_rows(n: int):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            at, data = utf8(batch.column("text"))
+            texts = R.inflated(batch.column("z"))
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             seen: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
             for i, places in enumerate(batch.column("places")):
-                text = data[at[i] : at[i + 1]].tobytes()
-                places = places.values.to_numpy()
+                text, places = texts[i], places.values.to_numpy()
                 for p, a, b, c in zip(places.tolist(), *(x.tolist() for x in R.unpacked(places))):
                     seen.setdefault((text[a : b + n], c - a), []).append((i, p))
             rows = []
@@ -223,11 +222,10 @@ def cut_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES, k: int =
 
     def cut(batches):
         for b in batches:
-            at, data = utf8(b.column("text"))
             starts, ends, kept, whole = [], [], [], []
-            for i, spans in enumerate(b.column("spans")):
+            for text, spans in zip(R.inflated(b.column("z")), b.column("spans")):
                 s, e = R.merged(*(spans.values.field(x).to_numpy() for x in ("s", "e")))
-                text = data[at[i] : at[i + 1]]
+                text = np.frombuffer(text, np.uint8)
                 stay = np.ones(len(text), bool)
                 for x, y in zip(s.tolist(), e.tolist()):
                     stay[x:y] = False
@@ -242,7 +240,7 @@ def cut_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES, k: int =
             )
 
     schema = "t1 long, t2 long, starts array<long>, ends array<long>, kept binary, kept_text string"
-    return held.select("t1", "t2", "text").join(spans, ["t1", "t2"]).mapInArrow(cut, schema)
+    return held.select("t1", "t2", "z").join(spans, ["t1", "t2"]).mapInArrow(cut, schema)
 
 
 def copied_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES) -> DataFrame:
