@@ -146,7 +146,7 @@ def replace_source(target: DataFrame, batch: DataFrame, source: str, on_empty: s
         raise ValueError("on_empty must be 'keep' or 'clear'")
     others = F.col("source") != F.lit(source)
     if on_empty == "keep":
-        empty = batch.select((F.count(F.lit(1)) == 0).alias("e")).scalar()
+        empty = batch.limit(1).select((F.count(F.lit(1)) == 0).alias("e")).scalar()
         keep_old = others | empty
     else:
         keep_old = others

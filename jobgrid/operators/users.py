@@ -96,7 +96,9 @@ def signup_batch(users: DataFrame, batch: DataFrame, now: Column | None = None)
     existing = existing.withColumn("_taken", F.lit(True))
     valid = b.filter(F.size("_failed") == 0)
     first = valid.groupBy("email_norm").agg(F.min("user_id").alias("_first_id"))
-    b = b.join(existing, "email_norm", "left").join(first, "email_norm", "left")
+    # rows that fail a rule are settled: they (and their null emails) do not join
+    failed = b.filter(F.size("_failed") > 0)
+    b = valid.join(existing, "email_norm", "left").join(first, "email_norm", "left").unionByName(failed, allowMissingColumns=True)
     reason = (
         F.when(F.size("_failed") > 0, F.concat(F.lit("invalid:"), F.array_join("_failed", ",")))
         .when(F.coalesce("_taken", F.lit(False)), F.lit("email_exists"))
@@ -219,7 +221,7 @@ def embedded_save(arrays: DataFrame, requests: DataFrame) -> DataFrame:
     order, so a repeated id is appended once."""
     firsts = requests.groupBy("user_id", "job_id").agg(F.min(F.struct("ts", "request_id")).alias("_o"))
     new = firsts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_o", "job_id"))).alias("_new"))
-    j = arrays.join(new, "user_id", "full").select(
+    j = arrays.join(new, "user_id", "left").select(  # requests of unknown users change nothing
         "user_id", F.coalesce("saved", F.array().cast(f"array<{ELEMENT}>")).alias("saved"), "_new"
     )
 
