@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobgrid.functions.text import salary_text
 from jobgrid.operators import normalize as N
 from jobgrid.sources import html as H
-from jobgrid.sources.landing import LANDING_SCHEMA, scan_landing, source_config
+from jobgrid.sources.landing import LANDING_SCHEMA, outside_window, scan_landing, source_config
 
 
 def landing(spark, rows):
@@ -92,9 +92,14 @@ def test_skip_policy_and_malformed_body(spark):
 
 
 def test_page_window(spark):
+    """All landed pages are read; the fetch window is an option that says what it leaves out."""
     good = json.dumps({"results": [{"title": "ok"}]})
-    out, _ = norm(spark, "Naukri", [("Naukri", p, 200, good) for p in range(1, 8)])
-    assert [r["page"] for r in out] == [1, 2, 3, 4, 5]
+    rows = [("Naukri", p, 200, good) for p in range(1, 8)]
+    out, _ = norm(spark, "Naukri", rows)
+    assert [r["page"] for r in out] == [1, 2, 3, 4, 5, 6, 7]
+    pages, cfg = landing(spark, rows), source_config(spark)
+    assert sorted(r.page for r in scan_landing(pages, cfg, window=True).collect()) == [1, 2, 3, 4, 5]
+    assert sorted((r.page, r.reason) for r in outside_window(pages, cfg).collect()) == [(6, "outside the page window"), (7, "outside the page window")]
 
 
 def test_internshala_cards(spark):
