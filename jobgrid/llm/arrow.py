@@ -35,27 +35,28 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             begin = end
 
 
-class Cache(dict):
-    """Values by key, made many at a time; holds at most two generations of
-    ``limit`` keys, so that memory is bounded and frequent keys stay."""
-
-    def __init__(self, make: Callable[[list], Iterable], limit: int = 200_000):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def fill(self, keys: Iterable) -> None:
-        """After this every one of ``keys`` can be looked up."""
-        keys = set(keys)
-        new = {k for k in keys if k not in self}
-        if len(self) + len(new) > self.limit and self:
-            new = keys
-            self.old = dict(self)
-            self.clear()
-        if self.old:
+class Cache:
+    """Values by key, made many at a time; holds two generations of ``limit``
+    keys at most, so that memory is bounded and frequent keys stay."""
+
+    def __init__(self, make: Callable[[list], Iterable], limit: int = 350_000):
+        self.make, self.limit, self.now, self.old = make, limit, {}, {}
+
+    def look_up(self, lists: list[list]) -> list[list]:
+        """The values of every list's keys."""
+        get = self.now.get
+        out = [list(map(get, keys)) for keys in lists]
+        gaps = [[j for j, v in enumerate(got) if v is None] if None in got else () for got in out]
+        missing = {keys[j] for keys, gap in zip(lists, gaps) for j in gap}
+        if missing:
             old = self.old
-            found = {k: old[k] for k in new if k in old}
-            self.update(found)
-            new.difference_update(found)
-        if new:
-            new = list(new)
-            self.update(zip(new, self.make(new)))
+            found = {k: old[k] for k in missing if k in old}
+            missing = [k for k in missing if k not in found]
+            found.update(zip(missing, self.make(missing)))
+            for keys, got, gap in zip(lists, out, gaps):
+                for j in gap:
+                    got[j] = found[keys[j]]
+            if len(self.now) + len(found) > self.limit:
+                self.now, self.old = {}, self.now
+            self.now.update(found)
+        return out

@@ -23,11 +23,14 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from jobgrid.llm.arrow import Cache, slices, utf8
 from jobgrid.llm.frames import text_of
@@ -44,6 +47,12 @@ def _byte_of_char() -> dict[str, int]:
     return chars | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
 
 
+class _Added(NamedTuple):
+    """An added token in a text; not the word of the same letters."""
+
+    text: str
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
@@ -135,7 +144,7 @@ class Bpe:
 
     def _encode_words(self, words: list[str]) -> Iterator[tuple[bytes, str]]:
         for w in words:
-            ids = [self.id_of[t] for t in self.encode_word(w.encode())]
+            ids = [self.added[w.text]] if isinstance(w, _Added) else [self.id_of[t] for t in self.encode_word(w.encode())]
             yield np.array(ids, "<i4").tobytes(), ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
@@ -145,14 +154,10 @@ class Bpe:
         for t in texts:
             if self.split_added and any(a in t for a in self.added):
                 parts = self.split_added(t)
-                pieces.append([*chain.from_iterable([p] if k % 2 else self.words(p) for k, p in enumerate(parts))])
-                for a, i in self.added.items():
-                    self.cache[a] = self.cache.old[a] = (np.array([i], "<i4").tobytes(), str(i))
+                pieces.append([*chain.from_iterable([_Added(p)] if k % 2 else self.words(p) for k, p in enumerate(parts))])
             else:
                 pieces.append(self.words(t))
-        self.cache.fill(chain.from_iterable(pieces))
-        got = self.cache
-        return [[got[w] for w in ws] for ws in pieces]
+        return self.cache.look_up(pieces)
 
     def decode(self, ids: np.ndarray) -> bytes:
         first, size = self.offset[ids], self.offset[ids + 1] - self.offset[ids]
@@ -166,17 +171,17 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [str(raw[a:b], "utf-8") for a, b in zip(at, at[1:])]
 
 
-def _per_text(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, row: Callable) -> DataFrame:
+def _per_text(docs: DataFrame, path: str, id_col: str, text_col: str, columns: dict[str, pa.DataType], row: Callable) -> DataFrame:
     """One row per document: its id and what ``row(bpe, words)`` gives."""
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    schema = f"doc_id {src.schema['id'].dataType.simpleString()}, {columns}"
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = StructType([StructField("doc_id", src.schema["id"].dataType), *(StructField(c, from_arrow_type(t)) for c, t in columns.items())])
 
     def run(batches):
         bpe = Bpe(path)
         for batch in slices(batches, "t", 1 << 20):
             rows = [row(bpe, words) for words in bpe.encode(_texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, zip(*rows))], names=names)
+            made = [pa.array(list(c), t) for c, t in zip(zip(*rows), columns.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *made], names=["doc_id", *columns])
 
     return src.mapInArrow(run, schema)
 
@@ -187,7 +192,7 @@ def _ids(words: list[tuple[bytes, str]]) -> np.ndarray:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row."""
-    return _per_text(docs, path, id_col, text_col, "ids array<int>", lambda bpe, words: (_ids(words).tolist(),))
+    return _per_text(docs, path, id_col, text_col, {"ids": pa.list_(pa.int32())}, lambda bpe, words: (_ids(words),))
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -212,4 +217,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         listed = hashlib.sha256(",".join([w[1] for w in words]).encode())
         return len(ids), listed.hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
-    return _per_text(docs, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    return _per_text(docs, path, id_col, text_col, columns, row)

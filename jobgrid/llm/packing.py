@@ -22,10 +22,10 @@ columns are used.
 from __future__ import annotations
 
 import bisect
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobgrid.llm.arrow import Cache, slices, values
-from jobgrid.llm.frames import text_of
-from jobgrid.session import cut_lineage
+from jobgrid.llm.frames import store, text_of
 
 SIZE = 2048
 END_ID = 1
 
 
+#: what may stand beside a stop or comma that is a unit of its own
+_PLAIN = (string.ascii_letters + string.digits + string.whitespace + ".,").encode()
+_MARKS_TOGETHER = (b"..", b",,", b".,", b",.")
+
+
 class WordEncoder:
     """Ids (little-endian unsigned 32-bit) of whole texts under a tokenizer
     that never joins two blank-separated words; words are encoded once and
@@ -55,18 +59,50 @@ class WordEncoder:
         self.cache = Cache(self._encode)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """Blank-separated parts, stops and commas apart from the word before
+        them in texts without other marks or marks in a row: so the tokenizer
+        takes them, and there are fewer kinds of words."""
+        if text.isascii() and b"<|" not in text:
+            text = text.lower()
+        rest = text.translate(None, _PLAIN)  # other marks, and letters outside ASCII
+        apart = (not rest or rest.decode().isalpha()) and not any(m in text for m in _MARKS_TOGETHER)
+        return (text.replace(b".", b" .").replace(b",", b" ,") if apart else text).split()
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for begin in range(0, len(words), 2000):
+            out += self._encode_block([w.decode() for w in words[begin : begin + 2000]])
+        return out
+
+    def _encode_block(self, words: list[str]) -> list[bytes]:
+        """Words of letters, and of letters and a full stop or comma, are one
+        and two units of the tokenizer; they are encoded as one text and told
+        apart by the units' numbers.  Others are encoded alone."""
+        units = [1 if w.isalpha() else 2 if w[-1] in ".," and w[:-1].isalpha() else 0 for w in words]
+        plain = [w for w, n in zip(words, units) if n]
+        whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        first = np.cumsum([0, *(n for n in units if n)])
+        number = np.array(whole.word_ids, np.int64)
+        if first[-1] != (number[-1] + 1 if len(number) else 0):  # not so for some letters
+            units, plain, first = [0] * len(words), [], first[:1]
+        at = (4 * np.searchsorted(number, first)).tolist()
+        blob = np.array(whole.ids, "<u4").tobytes()
+        joint = (blob[a:b] for a, b in zip(at, at[1:]))
+        alone = iter(self.tokenizer.encode_batch([w for w, n in zip(words, units) if not n], add_special_tokens=False))
+        return [next(joint) if n else np.array(next(alone).ids, "<u4").tobytes() for n in units]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         # a text that holds an added token is encoded whole; letter case is
         # only folded ahead where normalisation cannot depend on it
         whole = [any(s in t for s in self.specials) for t in texts]
-        words = [[] if w else t.lower().split() if t.isascii() and b"<|" not in t else t.split() for w, t in zip(whole, texts)]
-        self.cache.fill(chain.from_iterable(words))
-        got = self.cache
-        return [next(self._encode([t])) if w else b"".join([got[x] for x in ws]) for w, t, ws in zip(whole, texts, words)]
+        words = [[] if w else self._words(t) for w, t in zip(whole, texts)]
+        got = self.cache.look_up(words)
+        return [
+            np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(ids)
+            for w, t, ids in zip(whole, texts, got)
+        ]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
@@ -172,4 +208,4 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset (and ``ids``)."""
-    return assign(cut_lineage(token_pieces(docs, tokenizer_path, id_col, text_col, size, with_ids), "pieces"), size)
+    return assign(store(token_pieces(docs, tokenizer_path, id_col, text_col, size, with_ids), "pieces"), size)
