@@ -358,5 +358,4 @@ def assign_job_ids(df: DataFrame) -> DataFrame:
     rep = F.row_number().over(Window.partitionBy(*fields).orderBy("run_id", "page", "pos"))
     marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in fields]
     h = F.substring(F.sha2(F.concat(*marked, F.lit("#"), rep.cast("string")), 256), 1, 24)
-    own = df.filter(F.col("job_id").isNotNull())
-    return own.unionByName(df.filter(F.col("job_id").isNull()).withColumn("job_id", h))
+    return df.withColumn("job_id", F.coalesce("job_id", h))  # one pass: the batch is not parsed twice
