@@ -1,14 +1,16 @@
 """License scan by a positional rare-token index.
 
 Method.  The document frequency of every word of the licence templates is
-counted over all documents.  A small index maps the rarer half of each
-template's words to the positions where they stand in it.  In a document, the
-rarest of these that it holds (highest inverse document frequency) are looked
-up; each of their places votes, through the index, for a template at a relative
-position.
-A template position with enough votes is verified: the template's mandatory
+counted over all documents.  A small index maps each template's rarest words
+(highest inverse document frequency) to the positions where they stand in it:
+two positions more than a copy of the least share may miss, so that every such
+copy has two of them in place.  Each place of an index word in a document votes
+for its templates at a relative position; no word or place is left out,
+whatever else the document holds.
+A template position with two votes is verified: the template's mandatory
 key phrases must stand there word for word, and the share of template words in
-place is the score.  Fixed base phrases are found exactly, beside the method.
+place is the score.  So the labels are those of a comparison at every position.
+Fixed base phrases are found exactly, beside the method.
 
 Scale.  Two passes over the texts (frequencies, scan); the only shuffle is of
 counts of template words, a vocabulary bounded by the templates.  The index and
@@ -66,10 +68,9 @@ def words_of(text: bytes) -> list[bytes]:
 class LicenseIndex:
     """Postings of the templates' words, and the base phrases."""
 
-    def __init__(self, templates=TEMPLATES, base=BASE, rare: int = 8, least_share: float = 0.6):
-        """``rare``: words looked up in a document; ``least_share``: share of a
-        template's words that must stand in place."""
-        self.rare, self.least_share = rare, least_share
+    def __init__(self, templates=TEMPLATES, base=BASE, least_share: float = 0.6):
+        """``least_share``: share of a template's words that must stand in place."""
+        self.least_share = least_share
         self.base = [(words_of(p.encode()), label) for p, label in base.items()]
         self.templates = [(label, words_of(t.encode()), [words_of(k.encode()) for k in keys]) for label, t, keys in templates]
         for _, ws, keys in self.templates:
@@ -80,16 +81,14 @@ class LicenseIndex:
         self.weigh(dict.fromkeys(self.vocabulary, 0.0))
 
     def weigh(self, idf: dict[bytes, float]) -> None:
-        """Index the rarer half (three at least) of each template's words."""
-        self.idf = idf
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ws, _) in enumerate(self.templates):
-            kinds = sorted(set(ws), key=lambda w: (-idf[w], w))
-            chosen = set(kinds[: max(3, len(kinds) // 2)])
-            for at, w in enumerate(ws):
-                if w in chosen:
-                    self.postings[w].append((k, at))
-        self.looked_up = set(self.postings) | {ws[0] for ws, _ in self.base}
+        """Index the rarest positions of each template, two more than a copy of
+        the least share may miss; with each the votes that such a copy has."""
+        self.rarest: list[tuple[list[tuple[bytes, int]], int]] = []
+        for _, ws, _ in self.templates:
+            least = next(n for n in range(1, len(ws) + 1) if n / len(ws) >= self.least_share)
+            order = sorted(enumerate(ws), key=lambda x: (-idf[x[1]], x[1], x[0]))
+            self.rarest.append(([(w, at) for at, w in order[: len(ws) - least + 2]], min(2, least)))
+        self.looked_up = {w for spots, _ in self.rarest for w, _ in spots} | {ws[0] for ws, _ in self.base}
 
     def places(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Where the licence words stand; the only look at all words."""
@@ -108,22 +107,23 @@ class LicenseIndex:
     def method_labels(self, words: list[bytes], places: dict[bytes, list[int]]) -> tuple[set[str], float]:
         """Labels of the verified templates and the best share of a template's
         words found in place."""
-        rarest = sorted(places.keys() & self.postings.keys(), key=lambda w: (-self.idf[w], w))[: self.rare]
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for w in rarest:
-            for k, at in self.postings[w]:
-                for p in places[w]:
-                    votes[k, p - at] += 1
         labels, best = set(), 0.0
-        for (k, start), n in votes.items():
-            label, ws, keys = self.templates[k]
-            if n < min(2, len(ws)):
+        for (label, ws, keys), (spots, enough) in zip(self.templates, self.rarest):
+            present = [(at, places[w]) for w, at in spots if w in places]
+            if len(present) < enough:
                 continue
-            here = words[max(0, start) : start + len(ws)]
-            share = sum(map(bytes.__eq__, here, ws[max(0, -start) :])) / len(ws)
-            if share >= self.least_share and all(_places(here, key) for key in keys):
-                labels.add(label)
-            best = max(best, share)
+            votes: dict[int, int] = defaultdict(int)
+            for at, stands in present:
+                for p in stands:
+                    votes[p - at] += 1
+            for start, n in votes.items():
+                if n < enough:
+                    continue
+                here = words[max(0, start) : start + len(ws)]
+                share = sum(map(bytes.__eq__, here, ws[max(0, -start) :])) / len(ws)
+                if share >= self.least_share and all(_places(here, key) for key in keys):
+                    labels.add(label)
+                best = max(best, share)
         return labels, best
 
 

@@ -120,3 +120,18 @@ def rejected_hosts(rows: list[tuple], max_rate: float = 0.5) -> set[str]:
         strength = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
         bad |= {h for h in fails if (f[h] + mean * strength) / (len(fails[h]) + strength) > max_rate}
     return bad
+
+
+def license_labels(text: str | None, templates, least_share: float = 0.6) -> set[str]:
+    """Labels of the templates that stand at any position of the text."""
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = split.findall((text or "").translate(SMALL))
+    out = set()
+    for label, t, keys in templates:
+        ws = split.findall(t)
+        for s in range(1 - len(ws), len(words)):
+            here = words[max(0, s) : s + len(ws)]
+            share = sum(a == b for a, b in zip(here, ws[max(0, -s) :])) / len(ws)
+            if share >= least_share and all(f" {k} " in f" {' '.join(here)} " for k in keys):
+                out.add(label)
+    return out
