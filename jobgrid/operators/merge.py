@@ -142,6 +142,11 @@ def replace_source(target: DataFrame, batch: DataFrame, source: str, on_empty: s
     ``on_empty='keep'`` keeps the old rows when the batch is empty (D4: an
     atomic swap); ``'clear'`` reproduces delete-before-fetch.  The emptiness
     test is a scalar subquery, evaluated once, not a join."""
+    return drop_replaced(target, batch, source, on_empty).unionByName(batch, allowMissingColumns=True)
+
+
+def drop_replaced(target: DataFrame, batch: DataFrame, source: str, on_empty: str = "keep") -> DataFrame:
+    """``target`` without the rows of ``source`` that ``batch`` replaces."""
     if on_empty not in ("keep", "clear"):
         raise ValueError("on_empty must be 'keep' or 'clear'")
     others = F.col("source") != F.lit(source)
@@ -150,7 +155,7 @@ def replace_source(target: DataFrame, batch: DataFrame, source: str, on_empty: s
         keep_old = others | empty
     else:
         keep_old = others
-    return target.filter(F.coalesce(keep_old, F.lit(True))).unionByName(batch, allowMissingColumns=True)
+    return target.filter(F.coalesce(keep_old, F.lit(True)))
 
 
 def delete_source(target: DataFrame, *sources: str) -> DataFrame:
