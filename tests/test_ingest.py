@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from jobgrid.plans.ingest import RUN_ORDER, empty_listings, ingest_run
-from jobgrid.session import scratch_path
+from jobgrid.session import cut_lineage, scratch_path
 from jobgrid.sources import snapshot as snap
 from jobgrid.sources.landing import LANDING_SCHEMA, source_config
 from jobgrid.streaming import streams
@@ -58,3 +58,41 @@ def test_every_landed_source_is_merged(spark):
     pages(spark, ("r4", "LinkedIn", 1, 200, linkedin(("d", "D", "u4")))).write.mode("append").parquet(src)
     streams.start_ingest(spark, src, root, ckpt).awaitTermination()
     assert stored(snap.read_snapshot(spark, root)) == [("LinkedIn", "d", "r4"), both[1], ("Naukri", "c", "r2")]
+
+
+def indeed(*jobs) -> str:
+    recs = [{"job_title": t, "employer_name": c, "job_apply_link": u} for t, c, u in jobs]
+    return json.dumps({"data": {"jobs": recs}})
+
+
+def test_one_call_over_n_runs_equals_n_calls(spark):
+    cfg = source_config(spark)
+    rows = [
+        ("r1", "Naukri", 1, 200, naukri(("a", "A", "u1"), ("b", "B", "u2"))),
+        ("r1", "Indeed", 1, 200, indeed(("x", "X", "i1"), ("gone", "G", "i2"))),
+        ("r1", "LinkedIn", 1, 200, linkedin(("z", "Z", "u1"), ("old", "O", "l1"))),  # rewrites Naukri's first row
+        ("r2", "Naukri", 1, 200, naukri(("a", "A", "u1"), ("x", "X", "n1"))),  # an x before r2's Indeed one
+        ("r2", "Indeed", 1, 200, indeed(("x", "X", "i1"), ("y", "Y", "i3"))),
+        ("r3", "Indeed", 1, 429, ""),  # no rows: r2's stay
+        ("r3", "LinkedIn", 1, 200, linkedin(("new", "N", "l2"))),
+    ]
+    want = empty_listings(spark)
+    collapsed, removed = 0, 0
+    for run in ("r1", "r2", "r3"):
+        res = ingest_run(want, pages(spark, *(r for r in rows if r[0] == run)), cfg, None)
+        assert not res.errors
+        collapsed += sum(r["collapsed"] or 0 for r in res.collapsed.collect())
+        removed += res.removed.count()
+        want = cut_lineage(res.listings)
+    want = sorted(map(tuple, want.collect()), key=repr)
+    one = ingest_run(empty_listings(spark), pages(spark, *reversed(rows)), cfg, None)
+    assert not one.errors
+    assert sorted(map(tuple, one.listings.select(*empty_listings(spark).columns).collect()), key=repr) == want
+    assert sum(r["collapsed"] or 0 for r in one.collapsed.collect()) == collapsed and one.removed.count() == removed
+    got = stored(one.listings)
+    assert ("Indeed", "gone", "r1") not in got and ("Indeed", "y", "r2") in got and ("LinkedIn", "old", "r1") not in got
+
+    src, root = scratch_path(spark, "landed"), scratch_path(spark, "live")
+    pages(spark, *rows).repartition(4).write.parquet(src)
+    streams.start_ingest(spark, src, root, scratch_path(spark, "ckpt")).awaitTermination()
+    assert stored(snap.read_snapshot(spark, root)) == got
