@@ -49,3 +49,22 @@ def test_altered_notices(spark):
     want = [brute.license_labels(t, ls.TEMPLATES) for t in texts]
     assert scanned(spark, texts) == want
     assert 50 < sum(map(bool, want)) and not all(want)
+
+
+def test_usual_notices(spark):
+    fsf = "under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or"
+    usual = [
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", {"lgpl-2.1"}),
+        ("Licensed under the GNU Lesser General Public License, version 3.", {"lgpl-3"}),
+        (fsf.format("Lesser General Public License", "2.1"), {"lgpl-2.1"}),
+        (fsf.format("Lesser General Public License", "3"), {"lgpl-3"}),
+        (fsf.format("General Public License", "2"), {"gpl-2"}),
+        (fsf.format("General Public License", "3"), {"gpl-3"}),
+        (fsf.format("Affero General Public License", "3"), {"agpl-3"}),
+        ("Subject to the terms of the Mozilla Public License, v. 1.1", set()),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", {"isc"}),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", {"epl-2"}),
+        ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ]
+    assert scanned(spark, [t for t, _ in usual]) == [want for _, want in usual]
