@@ -74,6 +74,23 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_cut(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """``cut_lineage`` that also tells the folder, for ``remove_path`` once
+    nothing reads the table any more."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table this session wrote under the shared folder; anything
+    elsewhere is refused."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError(f"{path} is not under the shared folder")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def is_local_path(p: str) -> bool:
     return p.startswith("/") or p.startswith("file:")
 
