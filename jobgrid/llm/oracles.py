@@ -48,3 +48,20 @@ stay AS (SELECT word.r, i, v FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHER
 kept AS (SELECT r, count(*) AS c, string_agg(v, ' ' ORDER BY i) AS k FROM stay GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS bigint) AS n_words, CAST(len(ws) - coalesce(c, 0) AS bigint) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)"""
+
+LEXICAL_SEARCH = r"""
+WITH small AS (SELECT row_number() OVER () AS r, doc_id,
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM small),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY r, doc_id, term),
+len AS (SELECT r, CAST(sum(tf) AS bigint) AS n FROM tf GROUP BY r),
+tot AS (SELECT count(*) AS big_n, CAST(sum(n) AS bigint) AS big_l FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS double) / (2 * df + 1))) AS bigint) AS w FROM df, tot),
+q AS (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark) b),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) AS bigint) AS score
+      FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN len USING (r), tot GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS int) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0) x WHERE rank <= 50
+"""

@@ -8,7 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobgrid.llm import ann, bpe, frames, license_scan, oracles, packing, quality_rules, repeats, secret_scan, simhash, substring_dedup, suffix_dedup, url_filter
+from jobgrid.llm import (
+    ann,
+    bpe,
+    class_lm,
+    frames,
+    lexical_search,
+    license_scan,
+    oracles,
+    packing,
+    quality_rules,
+    repeats,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +138,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_class_lm")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", oracles.LEXICAL_SEARCH)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
