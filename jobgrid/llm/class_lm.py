@@ -14,11 +14,14 @@ seen once (Good-Turing).  The base score is an add-one unigram.
 
 Scale.  Texts are tokenised once into blocks of at most ``BLOCK`` bytes, written
 to the shared folder: token numbers and the block's own dictionary.  What
-crosses the network is a row for each word of a block, not for each token: to
-the word's partition with its neighbours' classes, and back with its count and
-class.  The vocabulary stays spread; a word in all blocks is added up as a
-stream, a few rows at a time.  Only tables of classes x classes and single
-numbers come to the driver.  All counts are over all training documents.
+crosses the network is a block's words, not its tokens: dealt into buckets by
+hash, a row for each block and bucket holds their neighbours' classes, and one
+comes back with their counts and classes.  Buckets grow in number with the
+dictionaries, so that one holds about ``BUCKET`` words of blocks; a word that
+stands in all blocks adds at most one entry a block to its bucket.  After the
+first round a word is known by its number in its bucket.  The vocabulary stays
+spread; only tables of classes x classes and single numbers come to the driver.
+All counts are over all training documents.
 
 Defined cases.  A null or empty text is the end token alone.  Words are known
 by a 128-bit hash.  A document trains unless ``crc32(id as text) mod FOLDS`` is
@@ -49,36 +52,41 @@ from jobgrid.session import remove_path, write_cut
 CLASSES = 32
 ROUNDS = 2
 #: bytes of text in a block (a longer document is a block of its own)
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: weight of a class's own share beside its transitions
 KAPPA = 32.0
 FOLDS, HELD_OUT = 7, 2
 
+#: words of blocks in a bucket, about
+BUCKET = 1_000_000
+#: entries worked on at a time, each against all classes
+CHUNK = 60_000
+
 _SMALL = bytes(range(256)).lower()
-_ENTRY = np.dtype([("near", "u1"), ("n", "<u4")])
-_WORD = "h1 long, h2 long, block long, local int, n long, cls int, near binary"
-#: lead: one row of each word is marked
-_ANSWER = "block long, local int, count long, cls int, lead boolean"
-_BLOCK = "block long, train array<boolean>, ends binary, tokens binary, keys binary, cls binary, was binary, counts binary, kinds long, once long"
+_ROW = "bucket int, block long, words int, entries int, keys binary, rest binary"
+_BLOCK = ("block long, train array<boolean>, ends binary, tokens binary, keys binary, slots binary, cls binary, was binary, counts binary, "
+          "words long, kinds long, once long")
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_SMALL).split()
 
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """Numbers with their bytes apart, so that they compress."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers below 2^32 with their bytes apart, so that they compress."""
     import zstandard
 
-    planes = np.ascontiguousarray(tokens.astype("<u4").view("u1").reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = [np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _unpack(raw: bytes) -> np.ndarray:
+def _unpack(raw: bytes, *sizes: int) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int32)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1")
+    sizes = sizes or (len(data) // 4,)
+    ends = np.cumsum([0, *sizes]) * 4
+    return [np.ascontiguousarray(data[a:b].reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for a, b in zip(ends, ends[1:])]
 
 
 def _blocks(ids: pa.DataType, classes: int, block_bytes: int):
@@ -101,8 +109,8 @@ def _blocks(ids: pa.DataType, classes: int, block_bytes: int):
             cls = bytes(zlib.crc32(w[-2:]) % classes for w in kinds)
             row = {
                 "ids": pa.array([doc_ids], pa.list_(ids)), "block": pa.array([next(number)]), "train": pa.array([train], pa.list_(pa.bool_())),
-                **{c: pa.array([v], pa.binary()) for c, v in (("ends", ends.tobytes()), ("tokens", _pack(np.frombuffer(tokens, np.int32))), ("keys", keys), ("cls", cls), ("was", b""), ("counts", b""))},
-                "kinds": pa.array([0]), "once": pa.array([0]),
+                **{c: pa.array([v], pa.binary()) for c, v in (("ends", ends.tobytes()), ("tokens", _pack(np.frombuffer(tokens, np.int32))), ("keys", keys), ("slots", b""), ("cls", cls), ("was", b""), ("counts", b""))},
+                "words": pa.array([len(kinds)]), "kinds": pa.array([0]), "once": pa.array([0]),
             }
             return pa.record_batch(list(row.values()), names=list(row))
 
@@ -129,14 +137,15 @@ class _Block:
     """One stored block."""
 
     def __init__(self, batch: pa.RecordBatch, i: int):
-        raw = {c: batch.column(c)[i].as_buffer() for c in ("ends", "tokens", "keys", "cls", "counts") if c in batch.schema.names}
+        raw = {c: batch.column(c)[i].as_buffer() for c in ("ends", "tokens", "keys", "slots", "cls", "counts")}
         self.number = batch.column("block")[i].as_py()
         self.train = np.array(batch.column("train")[i].as_py(), bool)
         self.ends = np.frombuffer(raw["ends"], np.int64)
-        self.tokens = _unpack(raw["tokens"])
+        self.tokens = _unpack(raw["tokens"])[0].astype(np.int32)
         self.cls = np.frombuffer(raw["cls"], np.uint8)
-        self.keys = np.frombuffer(raw["keys"], "<i8").reshape(-1, 2)
-        self.counts = np.frombuffer(raw["counts"], np.int64)
+        self.keys = np.frombuffer(raw["keys"], "<u8").reshape(-1, 2)
+        self.slots = raw["slots"]
+        self.counts = _unpack(raw["counts"])[0] if raw["counts"].size else np.zeros(len(self.cls), np.int64)
 
     def before(self, x: np.ndarray) -> np.ndarray:
         """The values one token earlier; the first follows an end."""
@@ -166,8 +175,9 @@ def _class_pairs(classes: int):
     return run
 
 
-def _neighbours(classes: int):
-    """Blocks to their words: training count, class, and the classes beside."""
+def _neighbours(classes: int, buckets: int):
+    """Blocks to rows of their words by bucket: key or number, place in the
+    block, class, and the classes beside."""
     wide = 2 * classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,20 +185,28 @@ def _neighbours(classes: int):
             use = b.in_training()
             t, c = b.tokens, b.cls[b.tokens].astype(np.int32)
             kinds = len(b.cls)
-            n = np.bincount(t[use], minlength=kinds)
             # 0 .. C-1: the class before the word; C .. 2C-1: the class after it
             seen = np.concatenate([(t * wide + b.before(c))[use], (b.before(t) * wide + classes + c)[use]])
             seen.sort()
             first = np.flatnonzero(np.diff(seen, prepend=-1))
-            entries = np.empty(len(first), _ENTRY)
-            entries["near"] = seen[first] % wide
-            entries["n"] = np.diff(first, append=len(seen))
-            at = np.searchsorted(seen[first], np.arange(kinds + 1) * wide) * _ENTRY.itemsize
-            near = pa.Array.from_buffers(pa.binary(), kinds, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(entries.tobytes())])
-            cols = [pa.array(b.keys[:, 0].copy()), pa.array(b.keys[:, 1].copy()), pa.array(np.full(kinds, b.number)), pa.array(np.arange(kinds, dtype=np.int32)), pa.array(n), pa.array(b.cls.astype(np.int32)), near]
-            whole = pa.record_batch(cols, names=["h1", "h2", "block", "local", "n", "cls", "near"])
-            for begin in range(0, kinds, 20_000):
-                yield whole.slice(begin, 20_000)
+            n = np.diff(first, append=len(seen))
+            owner, near = np.divmod(seen[first], wide)
+            if len(b.keys):
+                bucket, number = (b.keys[:, 0] % buckets).astype(np.int64), np.zeros(0, np.int64)
+            else:
+                bucket, number = _unpack(b.slots, kinds, kinds)
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            many = np.bincount(owner, minlength=kinds)
+            start = np.concatenate([[0], np.cumsum(many)[:-1]])
+            for k in np.flatnonzero(np.diff(bounds)):
+                mine = order[bounds[k] : bounds[k + 1]]
+                lens = many[mine]
+                at = np.repeat(start[mine] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+                rest = _pack(mine, b.cls[mine], lens, number[mine] if len(number) else np.zeros(len(mine)), near[at], n[at])
+                keys = b.keys[mine].tobytes() if len(b.keys) else b""
+                row = [[k], [b.number], [len(mine)], [len(at)], [keys], [rest]]
+                yield pa.record_batch([pa.array(v, kind) for v, kind in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "block", "words", "entries", "keys", "rest"])
 
     return run
 
@@ -228,80 +246,61 @@ def choose(pairs: np.ndarray, word: np.ndarray, near: np.ndarray, n: np.ndarray,
 
 
 def _exchange(pairs: np.ndarray):
-    """Words, sorted by key, to their answers: count over all blocks, class."""
+    """A bucket's rows to its answers, a row for each block: places, classes,
+    numbers in the bucket, counts, and which places lead (one of each word)."""
     classes = len(pairs)
     wide = 2 * classes
 
-    def decided(cls, vectors):
-        at, near = np.nonzero(vectors)
-        return choose(pairs, at, near, vectors[at, near].astype(np.float64), cls)
-
-    def answer(block, local, count, cls, lead):
-        cols = [pa.array(block), pa.array(local), pa.array(count), pa.array(cls.astype(np.int32)), pa.array(lead)]
-        return pa.record_batch(cols, names=["block", "local", "count", "cls", "lead"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the word that may go on in the next batch: key, [block], [local], n, class, vector
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h1, h2, block, local, n, cls = (batch.column(c).to_numpy() for c in ("h1", "h2", "block", "local", "n", "cls"))
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            word = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            near = batch.column("near")
-            offsets = np.frombuffer(near.buffers()[1], np.int32)[near.offset : near.offset + len(near) + 1] // _ENTRY.itemsize
-            data = near.buffers()[2]
-            entries = np.frombuffer(data, _ENTRY)[offsets[0] : offsets[-1]] if data is not None and data.size else np.empty(0, _ENTRY)
-            owner = np.repeat(word, np.diff(offsets))
-            kinds = len(first)
-            vectors = np.bincount(owner * wide + entries["near"], entries["n"], minlength=kinds * wide).astype(np.int64).reshape(kinds, wide)
-            count = np.add.reduceat(n, first)
-            own = cls[first].astype(np.int64)
-            bounds = np.append(first, len(h1))
-            begin = 0
-            if last is not None:
-                if last[0] == (h1[0], h2[0]):
-                    e = bounds[1]
-                    last[1].append(block[:e].copy())
-                    last[2].append(local[:e].copy())
-                    last[3] += count[0]
-                    last[5] += vectors[0]
-                    begin = 1
-                if kinds > begin:
-                    yield from finish(last)
-                    last = None
-            if kinds > begin:
-                stop = kinds - 1
-                if stop > begin:
-                    k = decided(own[begin:stop], vectors[begin:stop])
-                    a, e = bounds[begin], bounds[stop]
-                    which = word[a:e]
-                    yield answer(block[a:e], local[a:e], count[which], k[which - begin], new[a:e])
-                a = bounds[stop]
-                last = [(h1[a], h2[a]), [block[a:].copy()], [local[a:].copy()], count[stop], own[stop], vectors[stop].copy()]
-        if last is not None:
-            yield from finish(last)
-
-    def finish(last):
-        k = decided(np.array([last[4]]), last[5][None, :])
-        lead = True
-        for block, local in zip(last[1], last[2]):
-            yield answer(block, local, np.full(len(block), last[3]), np.repeat(k, len(block)), np.arange(len(block)) < lead)
-            lead = False
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        parts = [_unpack(r["rest"], *[r["words"]] * 4, *[r["entries"]] * 2) for r in rows]
+        local, cls, lens, number, near, n = (np.concatenate(x) for x in zip(*parts))
+        if rows[0]["keys"]:
+            keys = np.concatenate([np.frombuffer(r["keys"], "<u8").reshape(-1, 2) for r in rows])
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(keys[order], axis=0) != 0).any(1)
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+        own = np.zeros(number.max() + 1, np.int64)
+        own[number] = cls
+        owner = np.repeat(number, lens)
+        count = np.bincount(owner[near < classes], n[near < classes], minlength=len(own)).astype(np.int64)
+        cell = owner * wide + near
+        order = np.argsort(cell, kind="stable")
+        cell, n = cell[order], n[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        total = np.add.reduceat(n, first) if len(first) else n
+        owner, near = np.divmod(cell[first], wide)
+        best = own.copy()
+        begin = 0
+        while begin < len(owner):  # whole words at a time
+            end = np.searchsorted(owner, owner[min(begin + CHUNK, len(owner) - 1)]) if begin + CHUNK < len(owner) else len(owner)
+            end = max(end, begin + 1) if end > begin else int(np.searchsorted(owner, owner[begin], side="right"))
+            word, at = np.unique(owner[begin:end], return_inverse=True)
+            best[word] = choose(pairs, at, near[begin:end], total[begin:end].astype(np.float64), own[word])
+            begin = end
+        lead = np.zeros(len(number), np.int64)
+        lead[np.unique(number, return_index=True)[1]] = 1
+        ends = np.cumsum([0, *(r["words"] for r in rows)])
+        rest = [_pack(local[a:b], best[number[a:b]] * 2 + lead[a:b], number[a:b], count[number[a:b]]) for a, b in zip(ends, ends[1:])]
+        out = [table.column("bucket"), table.column("block"), table.column("words"), pa.array([0] * len(rows), pa.int32()), pa.array([b""] * len(rows), pa.binary()), pa.array(rest, pa.binary())]
+        return pa.table(out, names=["bucket", "block", "words", "entries", "keys", "rest"])
 
     return run
 
 
 def _answered(key, answers: pa.Table, blocks: pa.Table) -> pa.Table:
-    """A block with its words' new classes and counts."""
-    local = answers.column("local").to_numpy()
-    cls, counts = np.zeros(len(local), np.uint8), np.zeros(len(local), np.int64)
-    cls[local], counts[local] = answers.column("cls").to_numpy(), answers.column("count").to_numpy()
-    leads = counts[local[answers.column("lead").to_numpy()]]
-    new = {"was": blocks.column("cls"), "cls": pa.array([cls.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
-           "kinds": pa.array([int((leads > 0).sum())]), "once": pa.array([int((leads == 1).sum())])}
+    """A block with its words' new classes, counts, buckets and numbers."""
+    size = blocks.column("words")[0].as_py()
+    cls, counts, bucket, number, lead = (np.zeros(size, np.int64) for _ in range(5))
+    for r in answers.to_pylist():
+        local, marked, numbers, count = _unpack(r["rest"], *[r["words"]] * 4)
+        cls[local], lead[local] = marked >> 1, marked & 1
+        bucket[local], number[local], counts[local] = r["bucket"], numbers, count
+    binary = {"was": blocks.column("cls")[0].as_py(), "cls": cls.astype(np.uint8).tobytes(), "counts": _pack(counts), "slots": _pack(bucket, number), "keys": b""}
+    new = {name: pa.array([value], pa.binary()) for name, value in binary.items()}
+    new |= {"kinds": pa.array([int((lead * counts > 0).sum())]), "once": pa.array([int((lead * counts == 1).sum())])}
     for name, value in new.items():
         at = blocks.schema.get_field_index(name)
         blocks = blocks.set_column(at, blocks.schema.field(at), value)
@@ -310,19 +309,17 @@ def _answered(key, answers: pa.Table, blocks: pa.Table) -> pa.Table:
 
 def _pairs(blocks: DataFrame, classes: int) -> np.ndarray:
     out = np.zeros((classes, classes))
-    found = blocks.select("block", "train", "ends", "tokens", "keys", "cls", "counts").mapInArrow(_class_pairs(classes), "c int, d int, n long")
+    found = blocks.select("block", "train", "ends", "tokens", F.lit(b"").alias("keys"), F.lit(b"").alias("slots"), "cls", F.lit(b"").alias("counts")).mapInArrow(_class_pairs(classes), "c int, d int, n long")
     for c, d, n in found.groupBy("c", "d").agg(F.sum("n")).collect():  # classes x classes numbers
         out[c, d] = n
     return out
 
 
-def exchange_round(blocks: DataFrame, pairs: np.ndarray) -> DataFrame:
+def exchange_round(blocks: DataFrame, pairs: np.ndarray, buckets: int) -> DataFrame:
     """The blocks after all words have chosen against ``pairs``."""
-    classes = len(pairs)
-    asked = blocks.drop("ids", "was", "kinds", "once").mapInArrow(_neighbours(classes), _WORD)
-    dealt = asked.repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-    answers = dealt.mapInArrow(_exchange(pairs), _ANSWER)
-    return answers.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(_answered, blocks.schema)
+    asked = blocks.drop("ids", "was", "words", "kinds", "once").mapInArrow(_neighbours(len(pairs), buckets), _ROW)
+    answers = asked.groupBy("bucket").applyInArrow(_exchange(pairs), _ROW)
+    return answers.groupBy("block").cogroup(blocks.drop("keys").withColumn("keys", F.lit(b"")).groupBy("block")).applyInArrow(_answered, blocks.schema)
 
 
 def transitions(pairs: np.ndarray, n_tokens: int, once: int, kappa: float = KAPPA) -> np.ndarray:
@@ -361,11 +358,11 @@ def _score(log_moves: np.ndarray, class_size: np.ndarray, n_tokens: int, kinds:
 
 
 def scored(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, kappa: float = KAPPA, id_col: str = "doc_id", text_col: str = "text",
-           folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK) -> DataFrame:
+           folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score):
     the scores are log10 probabilities; ``10 ** (-score / n_tokens)`` is the
     perplexity."""
-    blocks, pairs, n_tokens, kinds, once = trained(docs, classes, rounds, id_col, text_col, folds, held_out, block_bytes)
+    blocks, pairs, n_tokens, kinds, once = trained(docs, classes, rounds, id_col, text_col, folds, held_out, block_bytes, bucket)
     kind = docs.schema[id_col].dataType.simpleString()
     score = _score(transitions(pairs, n_tokens, once, kappa), pairs.sum(0), n_tokens, kinds)
     out = blocks.drop("kinds", "once", "was").mapInArrow(score, f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
@@ -375,7 +372,7 @@ def scored(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, kappa:
 
 
 def trained(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text",
-            folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK) -> tuple[DataFrame, np.ndarray, int, int, int]:
+            folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK, bucket: int = BUCKET) -> tuple[DataFrame, np.ndarray, int, int, int]:
     """(blocks, class pairs, training tokens, kinds of words in training, kinds
     seen once); the blocks hold every word's class and training count."""
     if not 2 <= classes <= 128 or rounds < 1:
@@ -385,9 +382,10 @@ def trained(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, id_co
     texts = docs.select(F.col(id_col).alias("id"), train.alias("train"), text_of(text_col).alias("text"))
     schema = f"ids array<{kind.simpleString()}>, {_BLOCK}"
     blocks, path = write_cut(texts.mapInArrow(_blocks(to_arrow_type(kind), classes, block_bytes), schema), "class-lm-blocks")
+    buckets = 1 + blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] // bucket
     pairs = _pairs(blocks, classes)
     for _ in range(rounds):
-        step, done = write_cut(exchange_round(blocks, pairs), "class-lm-blocks")
+        step, done = write_cut(exchange_round(blocks, pairs, buckets), "class-lm-blocks")
         remove_path(docs.sparkSession, path)
         blocks, path, found = step, done, _pairs(step, classes)
         if likelihood(found) <= likelihood(pairs):

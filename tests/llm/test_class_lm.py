@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import xxhash
 
 from jobgrid.llm import class_lm as lm
 from jobgrid.llm import queries as q
@@ -23,16 +22,32 @@ def trains(i):
 
 
 def classes_of(blocks) -> dict:
-    """Class and count by word hash, from every block; all must agree."""
+    """Class and count by a word's bucket and number, from every block; all
+    must agree."""
     out: dict = {}
-    for row in blocks.select("keys", "cls", "counts").collect():
-        for key, c, n in zip(np.frombuffer(row["keys"], "V16"), row["cls"], np.frombuffer(row["counts"], np.int64)):
-            assert out.setdefault(bytes(key), (c, int(n))) == (c, int(n))
+    for row in blocks.select("words", "slots", "cls", "counts").collect():
+        bucket, number = lm._unpack(row["slots"], row["words"], row["words"])
+        for b, k, c, n in zip(bucket, number, row["cls"], lm._unpack(row["counts"])[0]):
+            assert out.setdefault((int(b), int(k)), (c, int(n))) == (c, int(n))
     return out
 
 
-def key_of(word):
-    return xxhash.xxh3_128_digest(word.encode())
+def words_of(docs, blocks) -> dict:
+    """Class and count by word: the blocks' tokens against the documents'."""
+    out: dict = {}
+    text = {}
+    for r in docs.collect():
+        text.setdefault(r["doc_id"], []).append(tokens(r["text"]))
+    for row in blocks.collect():
+        counts, t = lm._unpack(row["counts"])[0], lm._unpack(row["tokens"])[0]
+        begin = 0
+        for i, end in zip(row["ids"], np.frombuffer(row["ends"], np.int64)):
+            mine = t[begin:end]
+            begin = end
+            said = next(s for s in text[i] if len(s) == len(mine))
+            for w, k in zip(said, mine):
+                assert out.setdefault(w, (row["cls"][k], int(counts[k]))) == (row["cls"][k], int(counts[k]))
+    return out
 
 
 def test_query_base_columns(spark, hard, written):
@@ -50,13 +65,14 @@ def test_query_base_columns(spark, hard, written):
 def test_scores_follow_the_model(spark, hard):
     """Small blocks, so that every word stands in many."""
     docs = hard[1]
-    blocks, pairs, n, kinds, once = lm.trained(docs, classes=8, rounds=3, block_bytes=2000)
-    held = classes_of(blocks)
+    blocks, pairs, n, kinds, once = lm.trained(docs, classes=8, rounds=3, block_bytes=2000, bucket=500)
+    held = words_of(docs, blocks)
+    assert len(classes_of(blocks)) == len({w for _, t, *_ in hard[0] for w in tokens(t)})
     seqs = [(i, tokens(t)) for i, t, *_ in hard[0]]
     seen = Counter(w for i, s in seqs if trains(i) for w in s)
     assert (n, kinds, once) == (sum(seen.values()), len(seen), sum(c == 1 for c in seen.values()))
-    assert all(held[key_of(w)][1] == seen[w] for _, s in seqs for w in s)
-    cls = lambda w: held[key_of(w)][0] if seen[w] else 8
+    assert all(held[w][1] == seen[w] for _, s in seqs for w in s)
+    cls = lambda w: held[w][0] if seen[w] else 8
     moves, size = Counter(), Counter()
     for i, s in seqs:
         if trains(i):
@@ -76,7 +92,7 @@ def test_scores_follow_the_model(spark, hard):
             out += math.log10(seen[b] / size[d]) if seen[b] else 0.0
         return out
 
-    got = lm.scored(docs, classes=8, rounds=3, block_bytes=2000).collect()
+    got = lm.scored(docs, classes=8, rounds=3, block_bytes=2000, bucket=500).collect()
     order = lambda x: (x[0] is None, x[0] or 0, x[1])
     for (i, k, a), (j, m, b) in zip(sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in got), key=order), sorted(((i, len(s), score(s)) for i, s in seqs), key=order)):
         assert (i, k) == (j, m) and math.isclose(a, b, rel_tol=1e-9)
@@ -120,12 +136,12 @@ def test_held_out_perplexity(spark, small_dir):
 
 
 def test_word_in_every_row(spark):
-    """Half of all words are one word; a batch of its rows goes on in the next."""
+    """Two of five tokens are one word, which stands in every block."""
     docs = spark.createDataFrame([(i, f"hot a{i} hot b{i}") for i in range(12_000)], "doc_id long, text string").repartition(4)
-    blocks, pairs, n, kinds, once = lm.trained(docs, block_bytes=1)
-    held = classes_of(blocks)
+    blocks, pairs, n, kinds, once = lm.trained(docs, block_bytes=400, bucket=2000)
+    held = words_of(docs, blocks)
     train = sum(map(trains, range(12_000)))
-    assert held[key_of("hot")][1] == 2 * train and n == 5 * train and (kinds, once) == (2 * train + 2, 2 * train)
+    assert held["hot"][1] == 2 * train and n == 5 * train and (kinds, once) == (2 * train + 2, 2 * train)
 
 
 def test_only_held_out_documents(spark):
