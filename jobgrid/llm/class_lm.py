@@ -58,9 +58,11 @@ KAPPA = 32.0
 FOLDS, HELD_OUT = 7, 2
 
 #: words of blocks in a bucket, about
-BUCKET = 1_000_000
+BUCKET = 400_000
 #: entries worked on at a time, each against all classes
 CHUNK = 60_000
+#: tokens scored at a time (a longer document at once)
+PIECE = 1 << 20
 
 _SMALL = bytes(range(256)).lower()
 _ROW = "bucket int, block long, words int, entries int, keys binary, rest binary"
@@ -86,7 +88,15 @@ def _unpack(raw: bytes, *sizes: int) -> list[np.ndarray]:
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1")
     sizes = sizes or (len(data) // 4,)
     ends = np.cumsum([0, *sizes]) * 4
-    return [np.ascontiguousarray(data[a:b].reshape(4, -1).T).view("<u4").ravel().astype(np.int64) for a, b in zip(ends, ends[1:])]
+    return [np.ascontiguousarray(data[a:b].reshape(4, -1).T).view("<u4").ravel() for a, b in zip(ends, ends[1:])]
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x & 0xFFFFFFFF, x >> 32
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.int64) + (high.astype(np.int64) << 32)
 
 
 def _blocks(ids: pa.DataType, classes: int, block_bytes: int):
@@ -141,11 +151,11 @@ class _Block:
         self.number = batch.column("block")[i].as_py()
         self.train = np.array(batch.column("train")[i].as_py(), bool)
         self.ends = np.frombuffer(raw["ends"], np.int64)
-        self.tokens = _unpack(raw["tokens"])[0].astype(np.int32)
+        self.tokens = _unpack(raw["tokens"])[0].view(np.int32)
         self.cls = np.frombuffer(raw["cls"], np.uint8)
         self.keys = np.frombuffer(raw["keys"], "<u8").reshape(-1, 2)
         self.slots = raw["slots"]
-        self.counts = _unpack(raw["counts"])[0] if raw["counts"].size else np.zeros(len(self.cls), np.int64)
+        self.counts = _whole(*_unpack(raw["counts"], len(self.cls), len(self.cls))) if raw["counts"].size else np.zeros(len(self.cls), np.int64)
 
     def before(self, x: np.ndarray) -> np.ndarray:
         """The values one token earlier; the first follows an end."""
@@ -167,8 +177,11 @@ def _class_pairs(classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(classes * classes, np.int64)
         for b in _rows(batches):
-            c = b.cls[b.tokens].astype(np.int32)
-            total += np.bincount((b.before(c) * classes + c)[b.in_training()], minlength=len(total))
+            c = b.cls[b.tokens]
+            pair = b.before(c).astype(np.int16)
+            pair *= classes
+            pair += c
+            total += np.bincount(pair[b.in_training()], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array((at // classes).astype(np.int32)), pa.array((at % classes).astype(np.int32)), pa.array(total[at])], names=["c", "d", "n"])
 
@@ -183,16 +196,23 @@ def _neighbours(classes: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _rows(batches):
             use = b.in_training()
-            t, c = b.tokens, b.cls[b.tokens].astype(np.int32)
-            kinds = len(b.cls)
+            t, c = b.tokens, b.cls[b.tokens]
+            kinds, m = len(b.cls), int(use.sum())
             # 0 .. C-1: the class before the word; C .. 2C-1: the class after it
-            seen = np.concatenate([(t * wide + b.before(c))[use], (b.before(t) * wide + classes + c)[use]])
+            seen = np.empty(2 * m, np.int32 if kinds * wide < 1 << 31 else np.int64)
+            for half, word, beside in ((seen[:m], t, b.before(c)), (seen[m:], b.before(t), c + np.uint8(classes))):
+                half[:] = word[use]
+                half *= wide
+                half += beside[use]
             seen.sort()
-            first = np.flatnonzero(np.diff(seen, prepend=-1))
-            n = np.diff(first, append=len(seen))
-            owner, near = np.divmod(seen[first], wide)
+            new = np.ones(2 * m, bool)
+            new[1:] = seen[1:] != seen[:-1]
+            first = np.flatnonzero(new)
+            n = np.diff(first, append=2 * m).astype(np.int32)
+            owner, near = seen[first] // wide, (seen[first] % wide).astype(np.uint8)
+            del seen, new, first, t, c, use
             if len(b.keys):
-                bucket, number = (b.keys[:, 0] % buckets).astype(np.int64), np.zeros(0, np.int64)
+                bucket, number = (b.keys[:, 0] % buckets).astype(np.int32), np.zeros(0, np.int32)
             else:
                 bucket, number = _unpack(b.slots, kinds, kinds)
             order = np.argsort(bucket, kind="stable")
@@ -255,6 +275,8 @@ def _exchange(pairs: np.ndarray):
         rows = table.to_pylist()
         parts = [_unpack(r["rest"], *[r["words"]] * 4, *[r["entries"]] * 2) for r in rows]
         local, cls, lens, number, near, n = (np.concatenate(x) for x in zip(*parts))
+        number = number.astype(np.int64)
+        del parts
         if rows[0]["keys"]:
             keys = np.concatenate([np.frombuffer(r["keys"], "<u8").reshape(-1, 2) for r in rows])
             order = np.lexsort((keys[:, 1], keys[:, 0]))
@@ -262,13 +284,16 @@ def _exchange(pairs: np.ndarray):
             new[1:] = (np.diff(keys[order], axis=0) != 0).any(1)
             number = np.empty(len(order), np.int64)
             number[order] = np.cumsum(new) - 1
+            del keys, order, new
         own = np.zeros(number.max() + 1, np.int64)
         own[number] = cls
         owner = np.repeat(number, lens)
         count = np.bincount(owner[near < classes], n[near < classes], minlength=len(own)).astype(np.int64)
         cell = owner * wide + near
+        del owner, near
         order = np.argsort(cell, kind="stable")
-        cell, n = cell[order], n[order]
+        cell, n = cell[order], n[order].astype(np.int64)
+        del order
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         total = np.add.reduceat(n, first) if len(first) else n
         owner, near = np.divmod(cell[first], wide)
@@ -283,7 +308,7 @@ def _exchange(pairs: np.ndarray):
         lead = np.zeros(len(number), np.int64)
         lead[np.unique(number, return_index=True)[1]] = 1
         ends = np.cumsum([0, *(r["words"] for r in rows)])
-        rest = [_pack(local[a:b], best[number[a:b]] * 2 + lead[a:b], number[a:b], count[number[a:b]]) for a, b in zip(ends, ends[1:])]
+        rest = [_pack(local[a:b], best[number[a:b]] * 2 + lead[a:b], number[a:b], *_halves(count[number[a:b]])) for a, b in zip(ends, ends[1:])]
         out = [table.column("bucket"), table.column("block"), table.column("words"), pa.array([0] * len(rows), pa.int32()), pa.array([b""] * len(rows), pa.binary()), pa.array(rest, pa.binary())]
         return pa.table(out, names=["bucket", "block", "words", "entries", "keys", "rest"])
 
@@ -295,10 +320,10 @@ def _answered(key, answers: pa.Table, blocks: pa.Table) -> pa.Table:
     size = blocks.column("words")[0].as_py()
     cls, counts, bucket, number, lead = (np.zeros(size, np.int64) for _ in range(5))
     for r in answers.to_pylist():
-        local, marked, numbers, count = _unpack(r["rest"], *[r["words"]] * 4)
+        local, marked, numbers, *count = _unpack(r["rest"], *[r["words"]] * 5)
         cls[local], lead[local] = marked >> 1, marked & 1
-        bucket[local], number[local], counts[local] = r["bucket"], numbers, count
-    binary = {"was": blocks.column("cls")[0].as_py(), "cls": cls.astype(np.uint8).tobytes(), "counts": _pack(counts), "slots": _pack(bucket, number), "keys": b""}
+        bucket[local], number[local], counts[local] = r["bucket"], numbers, _whole(*count)
+    binary = {"was": blocks.column("cls")[0].as_py(), "cls": cls.astype(np.uint8).tobytes(), "counts": _pack(*_halves(counts)), "slots": _pack(bucket, number), "keys": b""}
     new = {name: pa.array([value], pa.binary()) for name, value in binary.items()}
     new |= {"kinds": pa.array([int((lead * counts > 0).sum())]), "once": pa.array([int((lead * counts == 1).sum())])}
     for name, value in new.items():
@@ -340,19 +365,22 @@ def _score(log_moves: np.ndarray, class_size: np.ndarray, n_tokens: int, kinds:
             for i in range(batch.num_rows):
                 b = _Block(batch, i)
                 known = b.counts > 0
-                cls = np.where(known, b.cls, unknown)
+                cls = np.where(known, b.cls, unknown).astype(np.uint8)
                 size = np.append(class_size, 1.0)[cls]
                 emit = np.where(known, np.log10(np.maximum(b.counts, 1) / np.maximum(size, 1)), 0.0)
-                base = np.log10((b.counts + 1) / (n_tokens + kinds + 1))
-                t, begin = b.tokens, np.concatenate([[0], b.ends[:-1]])
-                c = cls[t]
-                # every text follows an end; the block's last token is one
-                moves = log_moves[b.before(c), c]
-                add = np.add.reduceat
-                yield pa.record_batch(
-                    [batch.column("ids")[i].values, pa.array(b.train), pa.array(np.diff(b.ends, prepend=0)), pa.array(add(known[t].astype(np.int64), begin)), pa.array(add(base[t], begin)), pa.array(add(emit[t] + moves, begin))],
-                    names=["id", "train", "n_tokens", "n_known", "base_score", "score"],
-                )
+                base = np.log10((b.counts + 1.0) / (n_tokens + kinds + 1))
+                begins, ids = np.concatenate([[0], b.ends[:-1]]), batch.column("ids")[i].values
+                first = 0
+                while first < len(b.ends):  # some whole documents at a time
+                    last = max(first + 1, int(np.searchsorted(b.ends, begins[first] + PIECE, side="right")))
+                    t, at = b.tokens[begins[first] : b.ends[last - 1]], begins[first:last] - begins[first]
+                    c = cls[t]
+                    # a text follows an end, and ends in one
+                    move = log_moves[np.concatenate([c[-1:], c[:-1]]), c]
+                    sums = [np.add.reduceat(x, at) for x in (known[t].astype(np.int64), base[t], emit[t] + move)]
+                    cols = [ids.slice(first, last - first), pa.array(b.train[first:last]), pa.array(b.ends[first:last] - begins[first:last]), *map(pa.array, sums)]
+                    yield pa.record_batch(cols, names=["id", "train", "n_tokens", "n_known", "base_score", "score"])
+                    first = last
 
     return run
 

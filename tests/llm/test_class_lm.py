@@ -21,13 +21,17 @@ def trains(i):
     return zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
 
 
+def counts_of(row):
+    return lm._whole(*lm._unpack(row["counts"], row["words"], row["words"]))
+
+
 def classes_of(blocks) -> dict:
     """Class and count by a word's bucket and number, from every block; all
     must agree."""
     out: dict = {}
     for row in blocks.select("words", "slots", "cls", "counts").collect():
         bucket, number = lm._unpack(row["slots"], row["words"], row["words"])
-        for b, k, c, n in zip(bucket, number, row["cls"], lm._unpack(row["counts"])[0]):
+        for b, k, c, n in zip(bucket, number, row["cls"], counts_of(row)):
             assert out.setdefault((int(b), int(k)), (c, int(n))) == (c, int(n))
     return out
 
@@ -39,7 +43,7 @@ def words_of(docs, blocks) -> dict:
     for r in docs.collect():
         text.setdefault(r["doc_id"], []).append(tokens(r["text"]))
     for row in blocks.collect():
-        counts, t = lm._unpack(row["counts"])[0], lm._unpack(row["tokens"])[0]
+        counts, t = counts_of(row), lm._unpack(row["tokens"])[0]
         begin = 0
         for i, end in zip(row["ids"], np.frombuffer(row["ends"], np.int64)):
             mine = t[begin:end]
