@@ -26,9 +26,10 @@ from jobgrid.functions.text import (
     salary_text,
     snippet,
     strip_chars,
+    valid_object_id,
 )
 from jobgrid.sources import html as H
-from jobgrid.sources.landing import LOCAL_ZONE, page_policy
+from jobgrid.sources.landing import LOCAL_ZONE, page_policy, policy_of
 
 # Fixed values of the sources (hosts, defaults, selectors).
 INTERNSHALA_HOST = "https://internshala.com"
@@ -153,27 +154,30 @@ def json_pages(landing: DataFrame, source: str) -> DataFrame:
 def json_records(landing: DataFrame, source: str, config: DataFrame) -> DataFrame:
     """``(run_id, source, page, pos, fetched_at, rec variant)`` of the pages the
     source's failure policy keeps.  Each body is parsed once."""
-    kept = page_policy(json_pages(landing, source), config)
+    kept = page_policy(json_pages(landing, source), config, source)
     return kept.select(*PAGE_KEYS, "fetched_at", F.posexplode("_recs").alias("pos", "rec"))
 
 
-def html_cards_with_pages(landing: DataFrame, source: str, container: str, fields: dict) -> DataFrame:
-    """Cards of every page of ``source`` plus one marker row (``pos = -1``)
-    for each page that failed or has no card, with the page flags."""
+def html_pages(landing: DataFrame, source: str, container: str, fields: dict) -> DataFrame:
+    """Pages of one HTML source with their cards and page flags; a body is
+    parsed once, and not at all when the fetch failed."""
     pages = landing.filter(F.col("source") == source).select(*PAGE_KEYS, "status", "fetched_at", "body")
-    cards = H.html_cards(pages.filter(F.col("status") == 200), container, fields,
-                         keys=[*PAGE_KEYS, "fetched_at"], emit_empty=True)
-    cards = cards.withColumn("bad", F.lit(False)).withColumn("empty", F.col("pos") < 0)
-    failed = pages.filter(F.col("status") != 200).select(
-        *PAGE_KEYS, "fetched_at", F.lit(-1).alias("pos"), F.lit(True).alias("bad"), F.lit(False).alias("empty")
+    body = F.when(F.col("status") == 200, F.col("body")).otherwise(F.lit(""))
+    found = H.page_cards(pages.withColumn("body", F.coalesce(body, F.lit(""))), container, fields,
+                         keys=[*PAGE_KEYS, "status", "fetched_at"])
+    bad = F.col("status") != 200
+    return found.select(
+        *PAGE_KEYS, "status", "fetched_at", "cards", bad.alias("bad"), (~bad & (F.col("n_found") == 0)).alias("empty")
     )
-    return cards.unionByName(failed, allowMissingColumns=True)
 
 
 def html_records(landing: DataFrame, source: str, config: DataFrame, container: str, fields: dict) -> DataFrame:
     """Cards of the pages the source's policy keeps."""
-    rows = html_cards_with_pages(landing, source, container, fields)
-    return page_policy(rows, config).filter(F.col("pos") >= 0).drop("bad", "empty")
+    if policy_of(source) == "skip":  # decided by the status alone: no page row is needed
+        pages = landing.filter((F.col("source") == source) & (F.col("status") == 200))
+        return H.html_cards(pages, container, fields, keys=[*PAGE_KEYS, "fetched_at"])
+    kept = page_policy(html_pages(landing, source, container, fields), config, source)
+    return kept.select(*PAGE_KEYS, "fetched_at", F.inline("cards"))
 
 
 def page_flags(landing: DataFrame) -> DataFrame:
@@ -182,11 +186,7 @@ def page_flags(landing: DataFrame) -> DataFrame:
     for src in ("Naukri", "Indeed", "Unstop"):
         frames.append(json_pages(landing, src).select(*PAGE_KEYS, "status", "bad", "empty"))
     for src, cont, flds in (("Internshala", INTERNSHALA_CARD, INTERNSHALA_FIELDS), ("LinkedIn", LINKEDIN_CARD, LINKEDIN_FIELDS)):
-        rows = html_cards_with_pages(landing, src, cont, {"ref": flds["ref"]})
-        frames.append(
-            rows.groupBy(*PAGE_KEYS).agg(F.max("bad").alias("bad"), F.max("empty").alias("empty"))
-            .join(landing.select(*PAGE_KEYS, "status"), PAGE_KEYS)
-        )
+        frames.append(html_pages(landing, src, cont, {"ref": flds["ref"]}).select(*PAGE_KEYS, "status", "bad", "empty"))
     return unify(*frames)
 
 
@@ -349,13 +349,19 @@ def unify(*frames: DataFrame) -> DataFrame:
 
 
 def assign_job_ids(df: DataFrame) -> DataFrame:
-    """Stable 24-hex ids for records that carry none (D10): a hash of
-    (source, title, company, job_url), each with its length or a null mark,
-    and of the repeat number of that tuple over all runs and pages, in order;
-    so equal records on two pages differ, a null differs from an empty field,
-    and the same pages give the same ids."""
-    fields = ("source", "title", "company", "job_url")
-    rep = F.row_number().over(Window.partitionBy(*fields).orderBy("run_id", "page", "pos"))
+    """Stable 24-hex ids (D10).  A record's own id is kept only if it is an
+    object id and the first of its kind in the batch; every other record gets
+    a hash of (run, source, title, company, job_url), each with its length or
+    a null mark, and of the repeat number of that tuple in the run.  So ids of
+    two runs or of two equal records differ, a null differs from an empty
+    field, and the same pages give the same ids."""
+    fields = ("run_id", "source", "title", "company", "job_url")
+    rep = F.row_number().over(Window.partitionBy(*fields).orderBy("page", "pos"))
     marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in fields]
     h = F.substring(F.sha2(F.concat(*marked, F.lit("#"), rep.cast("string")), 256), 1, 24)
-    return df.withColumn("job_id", F.coalesce("job_id", h))  # one pass: the batch is not parsed twice
+    # records without an object id share no window: their row stands for itself
+    shown = F.when(valid_object_id("job_id"), F.lower("job_id"))
+    df = df.withColumn("_h", h).withColumn("_own", shown)
+    nth = F.row_number().over(Window.partitionBy(F.coalesce("_own", "_h")).orderBy("run_id", "source", "page", "pos"))
+    own = F.when(F.col("_own").isNotNull() & (nth == 1), F.col("job_id"))
+    return df.withColumn("job_id", F.coalesce(own, F.col("_h"))).drop("_h", "_own")

@@ -198,42 +198,54 @@ def cards_schema(keys: T.StructType, fields: dict[str, Field]) -> T.StructType:
     return T.StructType(cols)
 
 
+def _cards_of(body: str, steps, fspecs) -> tuple[int, list[tuple]]:
+    """How many containers a body has, and ``(pos, *fields)`` of each; a card
+    whose extraction fails is skipped, not fatal."""
+    found = select(parse(body), steps)
+    out = []
+    for pos, card in enumerate(found):
+        try:
+            nodes = list(_descendants(card))
+            out.append((pos, *(_extract(card, f, nodes) for f in fspecs)))
+        except Exception:  # noqa: BLE001 - a bad card is skipped
+            continue
+    return len(found), out
+
+
 def html_cards(pages: DataFrame, container: str, fields: dict[str, Field], body: str = "body",
-               keys: list[str] | None = None, emit_empty: bool = False) -> DataFrame:
+               keys: list[str] | None = None) -> DataFrame:
     """One row per ``container`` element of each page body: the page key
     columns, ``pos`` (0-based position of the card in its page) and one
-    column per field.  A card whose extraction fails is skipped, not fatal.
-    ``emit_empty`` adds one row with ``pos = -1`` for a page without cards."""
+    column per field."""
+    keys = keys or [c for c in pages.columns if c != body]
+    schema = cards_schema(T.StructType([pages.schema[k] for k in keys]), fields)
+    steps, fspecs = _compile(container), list(fields.values())
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*key, *card) for *key, text_ in pdf[[*keys, body]].itertuples(index=False, name=None)
+                    for card in _cards_of(text_, steps, fspecs)[1]]
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
+
+    return pages.select(*keys, body).mapInPandas(run, schema)
+
+
+def page_cards(pages: DataFrame, container: str, fields: dict[str, Field], body: str = "body",
+               keys: list[str] | None = None) -> DataFrame:
+    """``html_cards`` with one row per page: the key columns, ``n_found``
+    containers and the array ``cards`` of (pos, fields)."""
     keys = keys or [c for c in pages.columns if c != body]
-    key_schema = T.StructType([pages.schema[k] for k in keys])
-    schema = cards_schema(key_schema, fields)
-    steps = _compile(container)
-    fspecs = list(fields.items())
+    card = cards_schema(T.StructType([]), fields)
+    schema = T.StructType([*(pages.schema[k] for k in keys), T.StructField("n_found", T.IntegerType()),
+                           T.StructField("cards", T.ArrayType(card))])
+    steps, fspecs, names = _compile(container), list(fields.values()), card.fieldNames()
 
     def run(batches):
         for pdf in batches:
-            out = {c: [] for c in schema.fieldNames()}
-            for row in pdf.itertuples(index=False):
-                rec = row._asdict()
-                root = parse(rec[body])
-                found = select(root, steps)
-                if not found and emit_empty:
-                    for k in keys:
-                        out[k].append(rec[k])
-                    out["pos"].append(-1)
-                    for name, _ in fspecs:
-                        out[name].append(None)
-                for pos, card in enumerate(found):
-                    try:
-                        nodes = list(_descendants(card))
-                        vals = [_extract(card, f, nodes) for _, f in fspecs]
-                    except Exception:  # noqa: BLE001 - a bad card is skipped
-                        continue
-                    for k in keys:
-                        out[k].append(rec[k])
-                    out["pos"].append(pos)
-                    for (name, _), v in zip(fspecs, vals):
-                        out[name].append(v)
-            yield pd.DataFrame(out, columns=schema.fieldNames())
+            rows = []
+            for *key, text_ in pdf[[*keys, body]].itertuples(index=False, name=None):
+                n, cards = _cards_of(text_, steps, fspecs)
+                rows.append((*key, n, [dict(zip(names, c)) for c in cards]))
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
 
     return pages.select(*keys, body).mapInPandas(run, schema)

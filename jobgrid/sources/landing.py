@@ -13,12 +13,10 @@ job_id>``, so one body holds a bounded slice of a day's page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobgrid.session import cut_lineage
-
 
 # Fixed values of the sources: page windows, page sizes, failure policies,
 # upsert keys, time encoding of the scrape time, and run order.
@@ -94,26 +92,34 @@ def read_landing(spark: SparkSession, path: str, run_id: str | None = None,
     return scan_landing(df, config if config is not None else source_config(spark), window)
 
 
-def page_policy(rows: DataFrame, config: DataFrame) -> DataFrame:
-    """Rows of the pages kept by each source's failure rule.
-
-    ``rows`` holds any number of rows per page with ``run_id, source, page``
-    and the page flags ``bad`` and ``empty``.  *skip*: a bad page is dropped,
-    later ones kept.  *stop*: nothing at or after the first bad or empty page
-    of the run.
-
-    The first stop page of each (run, stop source) is an aggregate of page
-    flags, written as a small table; Spark sees its size and broadcasts it
-    while it is small, so the rows themselves are not shuffled.  Sources that
-    skip need a filter only."""
-    c = F.broadcast(config.select("source", "policy"))
-    rows = rows.join(c, "source")
-    stops = rows.filter((F.col("policy") == "stop") & (F.col("bad") | F.col("empty")))
-    first = cut_lineage(stops.groupBy("run_id", "source").agg(F.min("page").alias("_stop")), "stop-pages")
-    keep = F.when(
-        F.col("policy") == "stop", F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))
-    ).otherwise(~F.col("bad"))
-    return rows.join(first, ["run_id", "source"], "left").filter(keep).drop("_stop", "policy")
+def policy_of(source: str) -> str:
+    """The failure rule of a source; an unknown one skips."""
+    return {s: policy for s, *_, policy, _, _, _ in SOURCE_CONFIG}.get(source, "skip")
+
+
+def page_policy(pages: DataFrame, config: DataFrame, source: str | None = None) -> DataFrame:
+    """The pages kept by each source's failure rule.
+
+    ``pages`` holds one row per page with ``run_id, source, page`` and the
+    flags ``bad`` and ``empty``, and may carry what was parsed from the page.
+    *skip*: a bad page is dropped, later ones kept.  *stop*: nothing at or
+    after the first bad or empty page of the run.
+
+    When all rows are of one ``source``, a skipping one is a filter only.  A
+    stopping one looks back over the pages of its (run, source), a group as
+    large as one crawl; pages are parsed once and nothing runs while the plan
+    is built."""
+    failed = F.col("bad") | F.col("empty")
+    if source is not None and policy_of(source) == "skip":
+        return pages.filter(~F.col("bad"))
+    stop = F.lit(True)
+    if source is None:
+        pages = pages.join(F.broadcast(config.select("source", "policy")), "source")
+        stop = F.col("policy") == "stop"
+    crawl = Window.partitionBy("run_id", "source")
+    first = F.min(F.when(stop & failed, F.col("page"))).over(crawl)
+    keep = F.when(stop, F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))).otherwise(~F.col("bad"))
+    return pages.withColumn("_stop", first).filter(keep).drop("_stop", "policy")
 
 
 # ---- fixture bodies ---------------------------------------------------------------

@@ -155,3 +155,40 @@ def test_salary_numbers_print_as_the_source_prints_them(spark):
     text = rows.select("j", salary_text(N.number_text(F.try_parse_json("j")), F.lit(None).cast("string"), F.lit("YEAR"), F.lit(None).cast("string")).alias("t"))
     got = {r.j: r.t for r in text.collect()}
     assert got["50000.0"] == "INR 50000.0 / YEAR" and got["0.0"] == got["0"] == got["null"] == "Not Disclosed"
+
+
+def test_pages_are_parsed_once_and_only_when_the_plan_runs(spark):
+    card = '<li class="result-card"><h3 class="result-card__title">T</h3></li>'
+    pages = landing(spark, [("LinkedIn", 1, 200, card), ("LinkedIn", 2, 429, card), ("Internshala", 1, 200, "")])
+    cfg = source_config(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan-only", "")
+    try:
+        plans = {s: N.normalize(pages, s, cfg)[0] for s in ("LinkedIn", "Internshala", "Indeed", "Unstop")}
+        shown = {s: df._jdf.queryExecution().executedPlan().toString() for s, df in plans.items()}
+        assert not list(tracker.getJobIdsForGroup("plan-only"))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert shown["LinkedIn"].count("MapInPandas") == 1 and shown["Internshala"].count("MapInPandas") == 1
+    assert "Exchange" not in shown["Internshala"] and "Exchange" not in shown["Unstop"]
+    assert shown["Indeed"].count("try_parse_json") + shown["Indeed"].count("parse_json") <= 2
+
+
+def test_stop_looks_at_its_own_run_only(spark):
+    good = json.dumps({"data": {"jobs": [{"job_title": "ok"}]}})
+    rows = [("r1", "Indeed", p, 200 if p != 2 else 500, good, "2024-01-01T06:00:00") for p in (1, 2, 3)]
+    rows += [("r2", "Indeed", p, 200, good, "2024-01-01T06:00:00") for p in (1, 2, 3)]
+    cfg = source_config(spark)
+    out = N.normalize(spark.createDataFrame(rows, LANDING_SCHEMA), "Indeed", cfg)[0]
+    assert sorted((r.run_id, r.page) for r in out.collect()) == [("r1", 1), ("r2", 1), ("r2", 2), ("r2", 3)]
+
+
+def test_ids_are_object_ids_and_unique(spark):
+    hexed = "0123456789abcdef01234567"
+    rows = [("r1", "Naukri", 1, i, "t", "c", "u", i_id) for i, i_id in enumerate(["12", "12", None, hexed, hexed, hexed.upper(), "job-7"])]
+    rows += [("r2", "Naukri", 1, 0, "t", "c", "u", "12")]
+    df = spark.createDataFrame(rows, "run_id string, source string, page int, pos int, title string, company string, job_url string, job_id string")
+    ids = [r.job_id for r in N.assign_job_ids(df).orderBy("run_id", "pos").collect()]
+    assert len(set(x.lower() for x in ids)) == len(ids) and all(len(x) == 24 and int(x, 16) >= 0 for x in ids)
+    assert ids[3] == hexed
+    assert ids == [r.job_id for r in N.assign_job_ids(df.repartition(5)).orderBy("run_id", "pos").collect()]
