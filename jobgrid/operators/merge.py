@@ -51,11 +51,60 @@ def dedupe_keep_first(df: DataFrame, order=LISTING_ORDER, id_col: str = "job_id"
     return dedupe(df, order, id_col)[0]
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def _with_key(df: DataFrame, keys) -> tuple[DataFrame, list[str]]:
+    """The key columns once more as text that is never null (a null differs
+    from every value), so that equal keys meet in plain equi-joins and a window
+    and the join after it share one exchange."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    marked = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in keys]
+    return df.withColumns(dict(zip(names, marked))), names
+
+
+def _nth(df: DataFrame, names: list[str], order: list) -> DataFrame:
+    """The first row per key in ``order``; cut to one a key and map task before
+    the shuffle (``WindowGroupLimit``), so a hot key does not travel."""
+    rn = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    return df.withColumn("_rn", rn).filter(F.col("_rn") == 1).drop("_rn")
+
+
+def collapse_batch(batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col: str = "job_id",
+                   written: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The batch as one row per key (and ``by``): the written columns of its
+    last row as ``_v_<column>``, identity and order columns of its first."""
+    okey = list(order) + ([id_col] if id_col not in order else [])
+    written = [c for c in batch.columns if c not in (id_col, *order)] if written is None else written
+    b, names = _with_key(batch, [*by, *keys])
+    last = _nth(b, names, [F.col(c).desc() for c in okey]).select(*names, *(F.col(c).alias(f"_v_{c}") for c in written))
+    return _nth(b, names, okey).select(*names, *okey).join(last, names)
+
+
+def upsert_parts(target: DataFrame, batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col: str = "job_id",
+                 written: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What an upsert does to ``target``: ``updates`` (the id of the row that a
+    key updates, and its new values ``_v_<column>``) and ``inserts`` (new rows)."""
+    okey = list(order) + ([id_col] if id_col not in order else [])
+    written = [c for c in batch.columns if c not in (id_col, *order)] if written is None else written
+    bk = collapse_batch(batch, keys, order, id_col, written)
+    # Only target rows whose key occurs in the batch can match: a semi-join
+    # (broadcast by AQE when the batch's key set is small) cuts the target to
+    # those rows, so the whole target is scanned for a few columns but never
+    # shuffled for the match.
+    t, names = _with_key(target.select(*dict.fromkeys([*keys, *okey])), keys)
+    cand = t.select(*names, *okey).join(bk.select(*names), names, "left_semi")
+    first = _nth(cand, names, okey).select(*names, F.col(id_col).alias("_uid"))
+    m = bk.join(first, names, "left")
+    values = [F.col(f"_v_{c}") for c in written]
+    inserts = m.filter(F.col("_uid").isNull()).select(*okey, *(v.alias(c) for v, c in zip(values, written)))
+    return m.filter(F.col("_uid").isNotNull()).select("_uid", *values), inserts
+
+
+def overlay(rows: DataFrame, updates: DataFrame, written: list[str], id_col: str = "job_id", how: str = "left") -> DataFrame:
+    """``rows`` with the written columns of those that ``updates`` names; with
+    ``how='inner'`` those rows only.  The ids are unique, and the update set is
+    broadcast by AQE when small, so the rows are not shuffled for a hot key."""
+    hit = F.col("_uid").isNotNull()
+    cols = [F.when(hit, F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c) if c in written else F.col(c) for c in rows.columns]
+    return rows.join(updates, rows[id_col] == updates["_uid"], how).select(*cols)
 
 
 def upsert(
@@ -78,62 +127,25 @@ def upsert(
     * ``scope='source'`` adds ``source`` to the key (D5 option).
     """
     keys = list(keys) + (["source"] if scope == "source" and "source" not in keys else [])
-    ident = [id_col, *order]
     if written is None:
-        written = [c for c in batch.columns if c not in ident]
-    missing = [c for c in written if c not in target.columns]
-    for c in missing:
-        target = target.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
-
-    okey = list(order) + ([id_col] if id_col not in order else [])
-    bk = batch.groupBy(*keys).agg(
-        F.max_by(F.struct(*written), F.struct(*okey)).alias("_v"),
-        F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_first"),
-    )
-    # Only target rows whose key occurs in the batch can match: a null-safe
-    # semi-join (broadcast by AQE when the batch's key set is small) cuts the
-    # target to those rows before the per-key aggregate, so the whole target
-    # is scanned for a few columns but never shuffled.
-    tsel = target.select(*keys, *[c for c in okey if c not in keys])
-    bkeys = bk.select(*keys)
-    cand = tsel.join(bkeys, _null_safe_on(tsel, bkeys, keys), "left_semi")
-    tk = cand.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
-    m = bk.alias("b").join(tk.alias("t"), _null_safe_on(bk, tk, keys), "left").select(
-        F.col("b._v").alias("_v"), F.col("b._first").alias("_first"), F.col("t._t").alias("_t")
-    )
-
-    # Updates meet their target row by id (one row per batch key: AQE
-    # broadcasts them when small, so the target is not shuffled); unmatched
-    # keys become inserts.
-    updates = m.filter(F.col("_t").isNotNull()).select(F.col("_t._id").alias("_uid"), "_v")
-    patched = target.join(updates, target[id_col] == updates["_uid"], "left").select(
-        *[
-            F.when(F.col("_uid").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c)
-            if c in written
-            else F.col(c)
-            for c in target.columns
-        ]
-    )
-    inserts = m.filter(F.col("_t").isNull()).select(
-        F.col("_first._id").alias(id_col),
-        *[F.col(f"_first.{c}").alias(c) for c in order if c != id_col],
-        *[F.col(f"_v.{c}").alias(c) for c in written],
-    )
-    return patched.unionByName(inserts, allowMissingColumns=True)
+        written = [c for c in batch.columns if c not in (id_col, *order)]
+    for c in written:
+        if c not in target.columns:
+            target = target.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
+    updates, inserts = upsert_parts(target, batch, keys, order, id_col, written)
+    return overlay(target, updates, written, id_col).unionByName(inserts, allowMissingColumns=True)
 
 
 def upsert_match(target: DataFrame, batch: DataFrame, keys: list[str], order=LISTING_ORDER, id_col="job_id") -> DataFrame:
-    """For each batch row, the target row its upsert would update (or null)."""
-    b = batch.select(id_col, *keys)
-    bkeys = b.select(*keys).distinct()
-    tsel = target.select(*keys, *[c for c in dict.fromkeys([*order, id_col]) if c not in keys])
-    cand = tsel.join(bkeys, _null_safe_on(tsel, bkeys, keys), "left_semi")
-    tk = cand.groupBy(*keys).agg(F.min(F.struct(*order, F.col(id_col).alias("_id"))).alias("_t"))
-    return (
-        b.alias("b")
-        .join(tk.alias("t"), _null_safe_on(b, tk, keys), "left")
-        .select(F.col(f"b.{id_col}").alias("batch_job_id"), F.col("t._t._id").alias("target_job_id"))
-    )
+    """For each batch row, the target row its upsert would update (or null).
+    The target is cut to one row a key before it is shuffled; a hot key of the
+    batch meets that one row in a join that AQE splits."""
+    okey = list(dict.fromkeys([*order, id_col]))
+    b, names = _with_key(batch.select(id_col, *keys), keys)
+    t, _ = _with_key(target.select(*dict.fromkeys([*keys, *okey])), keys)
+    cand = t.select(*names, *okey).join(b.select(*names).distinct(), names, "left_semi")
+    first = _nth(cand, names, okey).select(*names, F.col(id_col).alias("target_job_id"))
+    return b.join(first, names, "left").select(F.col(id_col).alias("batch_job_id"), "target_job_id")
 
 
 def replace_source(target: DataFrame, batch: DataFrame, source: str, on_empty: str = "keep") -> DataFrame:
