@@ -350,7 +350,7 @@ def unify(*frames: DataFrame) -> DataFrame:
 
 def assign_job_ids(df: DataFrame) -> DataFrame:
     """Stable 24-hex ids (D10).  A record's own id is kept only if it is an
-    object id and the first of its kind in the batch; every other record gets
+    object id and the first of its kind in the run; every other record gets
     a hash of (run, source, title, company, job_url), each with its length or
     a null mark, and of the repeat number of that tuple in the run.  So ids of
     two runs or of two equal records differ, a null differs from an empty
@@ -362,6 +362,6 @@ def assign_job_ids(df: DataFrame) -> DataFrame:
     # records without an object id share no window: their row stands for itself
     shown = F.when(valid_object_id("job_id"), F.lower("job_id"))
     df = df.withColumn("_h", h).withColumn("_own", shown)
-    nth = F.row_number().over(Window.partitionBy(F.coalesce("_own", "_h")).orderBy("run_id", "source", "page", "pos"))
+    nth = F.row_number().over(Window.partitionBy("run_id", F.coalesce("_own", "_h")).orderBy("source", "page", "pos"))
     own = F.when(F.col("_own").isNotNull() & (nth == 1), F.col("job_id"))
     return df.withColumn("job_id", F.coalesce(own, F.col("_h"))).drop("_h", "_own")

@@ -26,7 +26,8 @@ def sql_dedupe_key(t: str = "title", c: str = "company") -> str:
 LISTING_COLS = "job_id, title, company, location, source, stipend, duration, job_url, scraped_date, page"
 
 
-def register(key: str, oracle: str | None = None, fixtures: tuple[str, ...] = (), ctes: dict | None = None):
+def register(key: str, oracle: str | None = None, fixtures: tuple[str, ...] = (), ctes: dict | None = None,
+             stored: bool = False):
     """Decorator: ``fn(spark, sf_dir) -> DataFrame`` under ``key``; the oracle
     SQL gets the named fixtures (and extra CTEs) prefixed as a WITH clause."""
 
@@ -35,7 +36,7 @@ def register(key: str, oracle: str | None = None, fixtures: tuple[str, ...] = ()
             raise KeyError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if oracle is not None:
-            ORACLES[key] = with_ctes(oracle, *fixtures, extra=ctes)
+            ORACLES[key] = with_ctes(oracle, *fixtures, extra=ctes, stored=stored)
         return fn
 
     return deco

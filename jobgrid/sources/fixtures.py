@@ -155,10 +155,12 @@ def cte(name: str) -> str:
     return text.format(**{t: t for t in deps})
 
 
-def with_ctes(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix ``sql`` with the fixtures it reads, plus extra named CTEs."""
-    parts = [f"{n} AS ({cte(n)})" for n in names]
-    parts += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
+def with_ctes(sql: str, *names: str, extra: dict[str, str] | None = None, stored: bool = False) -> str:
+    """Prefix ``sql`` with the fixtures it reads, plus extra named CTEs, each
+    computed once when ``stored`` (a long chain of steps)."""
+    once = "AS MATERIALIZED" if stored else "AS"
+    parts = [f"{n} {once} ({cte(n)})" for n in names]
+    parts += [f"{k} {once} ({v})" for k, v in (extra or {}).items()]
     body = sql.lstrip()
     if parts and body[:5].upper() == "WITH ":  # merge the query's own CTEs
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
