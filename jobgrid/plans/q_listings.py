@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from jobgrid.operators import aggregates as agg
 from jobgrid.operators import cards, filters, merge, paging
 from jobgrid.plans.catalog import LISTING_COLS, register, sql_dedupe_key
+from jobgrid.session import scratch_path
 from jobgrid.sources import fixtures as fx
+from jobgrid.sources import keyed
 
 # Parameters of the registered queries (fixed test values).
 LIST_PARAMS = dict(source="Naukri", location="asia", search="red")
@@ -225,6 +227,25 @@ def _reg_upsert(key: str, keys: list[str]):
     return q
 
 
+def _reg_keyed(key: str, keys: list[str]):
+    sql, ctes = _sql_upsert(keys)
+
+    @register(key, sql, ("listings",), ctes)
+    def q(spark, d):
+        """The same upsert into a table in key buckets, read back."""
+        t, b = _split(spark, d)
+        cols = LISTING_COLS.split(", ")
+        table = keyed.KeyedTable(spark, scratch_path(spark, "keyed"), t.select(*cols).schema)
+        table.create(t.select(*cols), buckets=16)
+        keyed.upsert(table, b.select(*cols), keys)
+        return table.read().select(*cols)
+
+    return q
+
+
+_reg_keyed("keyed_upsert_by_url", ["job_url"])
+_reg_keyed("keyed_upsert_by_title_company", ["title", "company"])
+_reg_keyed("keyed_upsert_by_title_company_url", ["title", "company", "job_url"])
 _reg_upsert("upsert_by_url", ["job_url"])
 _reg_upsert("upsert_by_title_company", ["title", "company"])
 _reg_upsert("upsert_by_title_company_url", ["title", "company", "job_url"])
