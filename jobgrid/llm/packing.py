@@ -22,7 +22,10 @@ columns are used.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import string
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,6 +48,24 @@ _PLAIN = (string.ascii_letters + string.digits + string.whitespace + ".,").encod
 _MARKS_TOGETHER = (b"..", b",,", b".,", b",.")
 
 
+class WordCache(Cache):
+    """``Cache`` for many repeated keys: a list's new keys are found as a set."""
+
+    def look_up(self, lists: list[list]) -> list[list]:
+        now, missing = self.now, set()
+        for keys in lists:
+            missing.update(set(keys).difference(now))
+        if missing:
+            old = self.old
+            now.update((k, old[k]) for k in missing if k in old)
+            missing = [k for k in missing if k not in now]
+            now.update(zip(missing, self.make(missing)))
+        out = [list(map(now.__getitem__, keys)) for keys in lists]
+        if len(now) > self.limit:
+            self.now, self.old = {}, now
+        return out
+
+
 class WordEncoder:
     """Ids (little-endian unsigned 32-bit) of whole texts under a tokenizer
     that never joins two blank-separated words; words are encoded once and
@@ -53,22 +74,49 @@ class WordEncoder:
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache = Cache(self._encode)
+        self.cache = WordCache(self._encode)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        """Blank-separated parts, stops and commas apart from the word before
-        them in texts without other marks or marks in a row: so the tokenizer
-        takes them, and there are fewer kinds of words."""
-        if text.isascii() and b"<|" not in text:
-            text = text.lower()
-        rest = text.translate(None, _PLAIN)  # other marks, and letters outside ASCII
-        apart = (not rest or rest.decode().isalpha()) and not any(m in text for m in _MARKS_TOGETHER)
-        return (text.replace(b".", b" .").replace(b",", b" ,") if apart else text).split()
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix = model.get("end_of_word_suffix") or None
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that end a unit
+        if suffix:
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.folded: dict[str, str | None] = {}
+
+    def _fold(self, c: str) -> str | None:
+        """The letter that the tokenizer makes of a letter outside ASCII; None
+        unless it is one letter whatever stands beside it."""
+        if c not in self.folded:
+            made = self.tokenizer.normalizer.normalize_str(c) if self.tokenizer.normalizer else c
+            joins = any(a <= c <= b for a, b in (("\u1100", "\u11ff"), ("\ua960", "\ua97f"), ("\ud7b0", "\ud7ff")))  # Jamo
+            plain = c.isalpha() and unicodedata.is_normalized("NFC", c) and not unicodedata.combining(c) and not joins
+            self.folded[c] = made if plain and len(made) == 1 and made.isalpha() and made not in string.ascii_letters else None
+        return self.folded[c]
+
+    def _words(self, text: bytes) -> list[bytes]:
+        """Blank-separated parts.  A text of letters, digits, stops and commas
+        only is normalised first, as the tokenizer would: letters small, each
+        by itself; and stops and commas, if no two meet, are cut off as the
+        units that they are, so that there are fewer kinds of words.  Letters
+        that change otherwise (into two, or with a mark beside them) leave the
+        text to the tokenizer, word by word."""
+        rest = text.translate(None, _PLAIN)  # other marks, and what is not ASCII
+        if rest:
+            kinds = set(rest.decode())
+            folds = {c: self._fold(c) for c in kinds if c > "\x7f"}
+            if len(folds) < len(kinds) or None in folds.values():
+                return text.split()
+            for c, f in folds.items():
+                if c != f:
+                    text = text.replace(c.encode(), f.encode())
+        text = text.lower()
+        if not any(m in text for m in _MARKS_TOGETHER):
+            text = text.replace(b".", b" .").replace(b",", b" ,")
+        return text.split()
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out = []
@@ -79,23 +127,22 @@ class WordEncoder:
     def _encode_block(self, words: list[str]) -> list[bytes]:
         """Words of letters, and of letters and a full stop or comma, are one
         and two units of the tokenizer; they are encoded as one text and told
-        apart by the units' numbers.  Others are encoded alone."""
-        units = [1 if w.isalpha() else 2 if w[-1] in ".," and w[:-1].isalpha() else 0 for w in words]
+        apart by the tokens that end a unit.  Others are encoded alone."""
+        units = [1 if w.isalpha() else 2 if w[-1] in ".," and w[:-1].isalpha() else 1 if w in (".", ",") else 0 for w in words]
         plain = [w for w, n in zip(words, units) if n]
-        whole = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        stops = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         first = np.cumsum([0, *(n for n in units if n)])
-        number = np.array(whole.word_ids, np.int64)
-        if first[-1] != (number[-1] + 1 if len(number) else 0):  # not so for some letters
-            units, plain, first = [0] * len(words), [], first[:1]
-        at = (4 * np.searchsorted(number, first)).tolist()
-        blob = np.array(whole.ids, "<u4").tobytes()
+        if first[-1] != len(stops) - 1 or stops[-1] != len(ids):  # not so for some letters
+            units, plain, first, ids, stops = [0] * len(words), [], first[:1], ids[:0], stops[:1]
+        at = (4 * stops[first]).tolist()
+        blob = ids.astype("<u4").tobytes()
         joint = (blob[a:b] for a, b in zip(at, at[1:]))
         alone = iter(self.tokenizer.encode_batch([w for w, n in zip(words, units) if not n], add_special_tokens=False))
         return [next(joint) if n else np.array(next(alone).ids, "<u4").tobytes() for n in units]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # a text that holds an added token is encoded whole; letter case is
-        # only folded ahead where normalisation cannot depend on it
+        # a text that holds an added token is encoded whole
         whole = [any(s in t for s in self.specials) for t in texts]
         words = [[] if w else self._words(t) for w, t in zip(whole, texts)]
         got = self.cache.look_up(words)
