@@ -41,6 +41,8 @@ from jobgrid.llm.frames import store, text_of
 
 SIZE = 2048
 END_ID = 1
+#: words in a generation of the cache; two are kept
+CACHED_WORDS = 600_000
 
 
 #: what may stand beside a stop or comma that is a unit of its own
@@ -78,7 +80,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.cache = WordCache(self._encode)
+        self.cache = WordCache(self._encode, CACHED_WORDS)
         self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         model = json.loads(self.tokenizer.to_str())["model"]
         suffix = model.get("end_of_word_suffix") or None
@@ -152,12 +154,23 @@ class WordEncoder:
         ]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_path: str) -> WordEncoder:
+    """This process's encoder, kept with its bounded cache for the next tasks."""
+    if tokenizer_path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_path] = WordEncoder(tokenizer_path)
+    return _ENCODERS[tokenizer_path]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of every piece;
     ``ids``: the piece's ids, little-endian unsigned 32-bit."""
 
     def cut(batches):
-        encode = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in slices(batches, "t", 1 << 20):
             keys, start, length, crc, total, ids, row = [], [], [], [], [], [], []
             for i, b in enumerate(encode(values(batch.column("t")))):
