@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobgrid.operators import cards, feed, filters, saved, search
+from jobgrid.operators import cards, feed, filters, saved, search, search_index
 from jobgrid.plans.catalog import LISTING_COLS, register
 from jobgrid.sources import fixtures as fx
 
@@ -184,6 +184,38 @@ def search_batch(spark, d):
     return search.search_batch(L(spark, d), log)
 
 
+# a long log of patterns: one for each customer, most with text that a match must hold, some
+# that can match anything
+_PATTERNS = """CASE c_custkey % 8
+  WHEN 0 THEN concat('supplier#0000', lpad(CAST(c_custkey % 211 AS string), 5, '0'), '$')
+  WHEN 1 THEN concat('(red|blue) (gear|ring)|#0000', lpad(CAST(c_custkey % 97 AS string), 5, '0'))
+  WHEN 2 THEN concat('^ *', lower(substr(c_mktsegment, 1, 4)), '|r#[0-9]*', lpad(CAST(c_custkey % 300 AS string), 3, '0'), '$')
+  WHEN 3 THEN concat('er#0{3,}', CAST(c_custkey % 5 AS string))
+  WHEN 4 THEN concat('0.', CAST(c_custkey % 10 AS string), '$')
+  WHEN 5 THEN concat('no such ', CAST(c_custkey AS string))
+  WHEN 6 THEN concat('asia|remote .', CAST(c_custkey % 60 AS string))
+  ELSE concat('widget$|^ *hot.{', CAST(c_custkey % 9 AS string), '}r$') END"""
+
+
+@register(
+    "search_batch_indexed",
+    f"""WITH log AS (SELECT c_custkey AS request_id, {_PATTERNS.replace(' AS string', ' AS varchar')} AS q FROM customer),
+      v AS (SELECT title AS v FROM listings UNION SELECT company FROM listings UNION SELECT location FROM listings),
+      m AS (SELECT q, v FROM (SELECT DISTINCT q FROM log) x, v WHERE v IS NOT NULL AND regexp_matches(v, q, 'i')),
+      t AS (SELECT title, company, location, count(*) AS n FROM listings GROUP BY ALL),
+      k AS (SELECT row_number() OVER () AS k, * FROM t),
+      h AS (SELECT q, k, n FROM k JOIN m ON title = v UNION SELECT q, k, n FROM k JOIN m ON company = v
+            UNION SELECT q, k, n FROM k JOIN m ON location = v),
+      c AS (SELECT q, sum(n) AS results FROM h GROUP BY q)
+    SELECT request_id, log.q, CAST(coalesce(results, 0) AS bigint) AS results FROM log LEFT JOIN c ON log.q = c.q""",
+    ("listings",),
+)
+def search_batch_indexed(spark, d):
+    """A log of as many patterns as customers, by the trigram index."""
+    log = fx.read_table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), F.expr(_PATTERNS).alias("q"))
+    return search_index.search_batch(L(spark, d), log)
+
+
 @register(
     "user_feed",
     f"""SELECT u.user_id, rk.job_id, CAST(rk.feed_rank AS int) AS feed_rank FROM users u JOIN (
