@@ -103,6 +103,8 @@ def components(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt((g * g).sum(0))
     order = np.argsort(-norms, kind="stable")
     order = order[norms[order] > 0]
+    if not len(order):
+        return np.zeros(0), np.zeros((len(scatter), 0))
     u = g[:, order] / norms[order]
     largest = np.abs(u).argmax(0)
     return norms[order] ** 2, u * np.sign(u[largest, np.arange(u.shape[1])])
