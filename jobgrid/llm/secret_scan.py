@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and character Markov models for the rest.
 
-Method.  Three fixed patterns give the base spans.  Beside them every long run
-of identifier characters is judged by two Markov models, of random strings and
+Method.  Three fixed patterns give the base spans.  They are blanked, and in what
+is left every run of ``LEAST`` identifier characters or more is judged by two Markov models, of random strings and
 of ordinary identifiers, through the mean log-likelihood ratio a character.
 Labelled samples come from the corpus: the values of the base spans, and a
 hash of each ordinary sample written in base 64, are random strings; runs of
@@ -16,7 +16,9 @@ shuffled.  DataFrame functions only.
 
 Defined cases.  A null text is empty.  Rows are told apart by a row number, so
 null or repeated ids do not mix.  Without samples of one class the method adds
-nothing.  Offsets are code points, ends exclusive.  Of the input only the id
+nothing.  A run that touches a base span is judged by what lies outside it; a
+run of any length is one span, read in linear time.  Runs under ``LEAST``
+characters are not judged.  Offsets are code points, ends exclusive.  Of the input only the id
 and text columns are used; ``redact`` returns all columns.
 """
 
@@ -32,9 +34,12 @@ from jobgrid.llm.frames import free_name, store, text_of
 #: kinds in the order in which they are listed; patterns are fixed values
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
+#: characters of the shortest assigned value
+VALUE = 6
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: runs that the models judge: of this many characters at least to train, to report
-RUN, TRAIN, REPORT = r"[A-Za-z0-9+/_=-]{16,}", 16, 20
+#: characters of the shortest run that the models judge
+LEAST = 16
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "random")
 ORDER, SYMBOLS = 2, 55
 
@@ -51,6 +56,24 @@ def _hits(text: Column, pattern: str, group: int, when: Column | None = None) ->
     return kept if when is None else F.when(when, kept).otherwise(F.slice(kept, 1, 0))
 
 
+def _blanked(text: Column) -> Column:
+    """The text with its base spans as blanks, as long as before.  Where spans
+    of two kinds cross, the one that begins first is blanked, of the other what
+    is left may stand; ``_spans`` drops runs inside a base span."""
+    pattern = f"{ASSIGN}|{ACCESS}|{HEX}"
+    parts = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"),
+    )
+
+    def shown(x):
+        dropped = F.length(x["value"]).between(1, VALUE - 1)  # an assignment too short for a base span stays
+        return F.concat(x["gap"], F.coalesce(F.when(dropped, x["hit"]).otherwise(F.repeat(F.lit(" "), F.length(x["hit"]))), F.lit("")))
+
+    return F.array_join(F.transform(parts, shown), "")
+
+
 def _fold(value: Column) -> Column:
     """Letters as they are, digits as 0, other characters as one symbol."""
     return markov.between_marks(F.regexp_replace(F.translate(value, "123456789", "0" * 9), r"[^A-Za-z0]", "-"), ORDER)
@@ -64,18 +87,20 @@ def scan_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for k in KEYWORDS[1:]:
         named = named | lower.contains(k)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("secret_text"))
-    return rows.select(
-        "row", "id",
+    based = rows.select(
+        "row", "id", "secret_text",
         _hits(text, ASSIGN, 2, named & text.rlike("[:=]")).alias("assign"),
         _hits(text, ACCESS, 0, text.contains("AKIA")).alias("access"),
         _hits(text, HEX, 0).alias("hex"),
-        _hits(text, RUN, 0).alias("random"),
     )
+    some = (F.size("assign") > 0) | (F.size("access") > 0) | (F.size("hex") > 0)
+    based = based.withColumn("secret_text", F.when(some, _blanked(text)).otherwise(text))
+    return based.select("row", "id", "assign", "access", "hex", _hits(text, RUN, 0).alias("random"))
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
     """(row, kind, start, end, value) of the base spans, and of the runs (kind
-    3) that overlap none of them."""
+    3) beside them."""
     every = None
     for number, kind in enumerate(KINDS):
         hits = scanned.filter(F.size(kind) > 0).select("row", F.lit(number).alias("kind"), F.posexplode(kind).alias("i", "x"))
@@ -84,19 +109,19 @@ def _spans(scanned: DataFrame) -> DataFrame:
     every = every.select("row", "kind", "i", F.length("x.hit").alias("size"), F.col("x.gap").alias("gap"), F.col("x.value").alias("value"))
     end = F.sum(F.col("gap") + F.col("size")).over(before).cast("long")
     every = every.select("row", "kind", (end - F.col("size")).alias("start"), end.alias("end"), "value")
-    every = every.filter((F.col("kind") > 0) | (F.length("value") >= 6))
+    every = every.filter((F.col("kind") > 0) | (F.length("value") >= VALUE))
     base = F.col("kind") < 3
     order = W.partitionBy("row").orderBy("start", "kind")
+    # a base span of the same start is read before a run by its kind
     reach = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
-    follows = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing))
-    every = every.withColumns({"reach": reach, "follows": follows})
-    free = (F.coalesce("reach", "start") <= F.col("start")) & (F.coalesce("follows", "end") >= F.col("end"))
-    return every.filter(base | free).drop("reach", "follows")
+    every = every.withColumn("reach", reach)
+    return every.filter(base | (F.coalesce("reach", F.lit(0)) < F.col("end"))).drop("reach")
 
 
 def _random_runs(spans: DataFrame, false_alarm: float, holdout: int) -> DataFrame | None:
     """The runs that the models take for random strings."""
     runs = spans.filter("kind = 3").withColumn("folded", _fold(F.col("value")))
+    runs = runs.select("*", *markov.key(F.col("folded")))
     ordinary = runs.filter(F.col("value").rlike(r"^[A-Za-z_]+$")).select("value").distinct()
     held = F.pmod(F.xxhash64("value"), F.lit(holdout)) == 0
     written = F.substr(F.base64(F.unhex(F.sha2("value", 256))), F.lit(1), F.length("value"))
@@ -112,9 +137,9 @@ def _random_runs(spans: DataFrame, false_alarm: float, holdout: int) -> DataFram
         return None
     model = store(markov.log_ratio(counts, ORDER, SYMBOLS), "secret-model")
     scored = store(markov.scores(runs, model, ORDER), "secret-scores")
-    calm = ordinary.filter(held).select(_fold(F.col("value")).alias("folded")).join(scored, "folded")
+    calm = ordinary.filter(held).select(*markov.key(_fold(F.col("value")))).join(scored, ["f1", "f2"])
     cut = max(0.0, calm.agg(F.percentile_approx("score", 1 - false_alarm, 10000)).first()[0] or 0.0)
-    return runs.join(scored.filter(F.col("score") > cut), "folded").filter(F.length("value") >= REPORT).select(*spans.columns)
+    return runs.join(scored.filter(F.col("score") > cut), ["f1", "f2"]).select(*spans.columns)
 
 
 def find_spans(scanned: DataFrame, false_alarm: float = 0.001, holdout: int = 5) -> DataFrame:

@@ -16,7 +16,9 @@ shuffled.  DataFrame functions only.
 
 Defined cases.  A null URL, or one without ``://``, has empty host and path, no
 rule, and is scored as an empty string.  Without accepted or without rejected
-labelled rows there is no ratio and undecided URLs are allowed.  Repeated rows
+labelled rows there is no ratio, and without held-out accepted ones no threshold;
+undecided URLs are then allowed.  A URL of any length is read in time linear in
+it.  Repeated rows
 are judged alike and all returned.  Of the input only the id and URL columns
 are used, so extra columns cannot clash.
 """
@@ -77,6 +79,7 @@ def judge_urls(
     url = F.col(url_col)
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), fold(url).alias("folded"))
+    rows = rows.select("*", *markov.key(F.col("folded")))
     name, decided = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "decided": decided, "held": F.pmod(F.xxhash64("folded"), F.lit(holdout)) == 0})
     train = rows.groupBy("folded").agg(*(F.count_if(~F.col("held") & (F.col("decided") == v)).alias(c) for v, c in (("allow", "pos"), ("block", "neg"))))
@@ -85,12 +88,12 @@ def judge_urls(
     scored = store(markov.scores(rows, model, ORDER), "url-scores")
     classes = counts.agg(F.sum("pos"), F.sum("neg")).first()
     cut = (
-        rows.filter("held and decided = 'allow'").join(scored, "folded")
+        rows.filter("held and decided = 'allow'").join(scored, ["f1", "f2"])
         .agg(F.percentile_approx("score", false_reject, 10000)).first()[0]
         if classes[0] and classes[1] else None
     )
     judged = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
-    return rows.join(scored, "folded", "left").select(
+    return rows.join(scored, ["f1", "f2"], "left").select(
         id_col, "host", "path", "rule", F.coalesce("decided", judged).alias("verdict"),
         F.when(F.col("rule").isNull(), F.col("score")).alias("score"),
     )
