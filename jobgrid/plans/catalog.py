@@ -45,11 +45,13 @@ def register(key: str, oracle: str | None = None, fixtures: tuple[str, ...] = ()
 def load_all() -> None:
     """Import every module that registers queries."""
     from jobgrid.plans import (  # noqa: F401
+        q_emails,
         q_landing,
         q_listings,
         q_saved,
         q_scalars,
         q_sinks,
+        q_state,
         q_stream,
         q_users,
     )
