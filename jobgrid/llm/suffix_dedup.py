@@ -6,8 +6,10 @@ stretches whose anchor gram stands elsewhere too) are range-partitioned by the
 bytes they lead with at the anchor, with splitters that Spark samples.  Each
 bucket sorts its suffixes by multikey quicksort, eight bytes a key: first by the
 anchor's gram, then, where several remain, every string of ``n`` bytes.  Equal
-neighbours repeat.  A lead that ends a bucket may go on in the next one; the
-strings of those are compared across boundaries by a second, hashed shuffle.
+neighbours repeat.  A lead that ends a bucket may go on in the next one.  The
+strings of such a lead whose anchor lies in the same 31 places share all but 30
+of their bytes: these cores are compared first, and only where another bucket
+has the core too, every string of it, by a second, hashed shuffle.
 
 Scale.  Texts are shuffled once, and once more those that have candidates;
 anchors are about 1 in 76 bytes.  Copies of a text count as one text and are
@@ -34,10 +36,16 @@ from jobgrid.llm.arrow import values
 from jobgrid.llm.frames import free_name, store, text_of
 
 BYTES, GRAM, LEAD = 200, 50, 16
+#: places of the anchor in a string that have one core
+PLACES = 31
 #: stretches of about this many bytes in a bucket, and windows compared at a time
 BUCKET_BYTES, WINDOWS = 16 << 20, 1 << 20
 _ONCE, _KNOWN, _NOTE = 0, 1, 2
-_COMPARED = "kind int, t1 long, t2 long, s long, e long, w1 long, w2 long"
+#: strings of a bucket's first or last lead that share a core; plus 1 if the bucket holds them
+#: more than once
+_CORE = 4
+_STRINGS = "kind int, t1 long, t2 long, s long, e long, w1 long, w2 long"
+_COMPARED = _STRINGS + ", body binary"
 
 
 def multikey_classes(blob: np.ndarray, starts: np.ndarray, length: int, classes: np.ndarray) -> np.ndarray:
@@ -89,7 +97,7 @@ def _stretch_rows(n: int):
                 lead, salt = body[off : off + LEAD], xxh64_intdigest(body) >> 1
                 if len(members) > 1:
                     rows.append((lead, salt, _NOTE, body, 0, 0, off))
-                    rows.extend((int(t1[i] ^ p).to_bytes(LEAD, "little", signed=True), 0, _KNOWN, b"", t1[i], t2[i], p) for i, p in members)
+                    rows.extend((int(t1[i] ^ p).to_bytes(16, "little", signed=True), 0, _KNOWN, b"", t1[i], t2[i], p) for i, p in members)
                 else:
                     ((i, p),) = members
                     rows.append((lead, salt, _ONCE, body, t1[i], t2[i], p))
@@ -102,12 +110,16 @@ def _stretch_rows(n: int):
     return run, "lead binary, salt long, kind int, body binary, t1 long, t2 long, place long"
 
 
-def _rows(kind: int, t1, t2, s, e, w1=None, w2=None) -> pa.RecordBatch:
+def _rows(kind, t1, t2, s, e, w1=None, w2=None) -> pa.RecordBatch:
     none = np.zeros(len(t1), np.int64)
     cols = [np.full(len(t1), kind, np.int32), t1, t2, s, e, none if w1 is None else w1, none if w2 is None else w2]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "t1", "t2", "s", "e", "w1", "w2"])
 
 
+def _with_body(rows: pa.RecordBatch, body: list[bytes] | None = None) -> pa.RecordBatch:
+    return rows.append_column("body", pa.nulls(rows.num_rows, pa.binary()) if body is None else pa.array(body, pa.binary()))
+
+
 def _window_hashes(blob: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     items = R.byte_items(blob)
     return tuple(R.gram_hashes(x, n)[starts].view(np.int64) for x in (items, R.mix(items)))  # type: ignore[return-value]
@@ -115,7 +127,7 @@ def _window_hashes(blob: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.nda
 
 def _compare(n: int, k: int):
     """One bucket: intervals of repeated bytes, and the strings of its first
-    and last lead for the comparison across boundaries."""
+    and last lead, by cores, for the comparison across boundaries."""
 
     def run(batches):
         rep: dict[tuple[bytes, int], int] = {}
@@ -125,7 +137,7 @@ def _compare(n: int, k: int):
             known = kind == _KNOWN
             if known.any():
                 s, e, _ = R.unpacked(place[known])
-                yield _rows(_KNOWN, a[known], b[known], s, e + n)
+                yield _with_body(_rows(_KNOWN, a[known], b[known], s, e + n))
             s, e, anchor = R.unpacked(place)
             offset = np.where(kind == _NOTE, place, anchor - s)
             again, bodies = [], values(batch.column("body"))
@@ -142,7 +154,7 @@ def _compare(n: int, k: int):
                 if kind[i] == _ONCE:
                     again.append((a[i], b[i], s[i], s[i] + len(key[0])))
             if again:
-                yield _rows(_KNOWN, *(np.array(c, np.int64) for c in zip(*again)))
+                yield _with_body(_rows(_KNOWN, *(np.array(c, np.int64) for c in zip(*again))))
         rep.clear()
         if not body:
             return
@@ -151,11 +163,13 @@ def _compare(n: int, k: int):
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
         leads = [x[o : o + LEAD] for x, o in zip(body, off.tolist())]
         low, high = min(leads), max(leads)
-        edge = np.fromiter((x == low or x == high for x in leads), bool, len(leads))
+        edge = [i for i, x in enumerate(leads) if x == low or x == high]
+        for part in range(0, len(edge), 10_000):
+            yield from _core_rows(edge[part : part + 10_000], body, off, many, t1, t2, first, n, k)
         blob = np.frombuffer(b"".join(body), np.uint8)
         del body, leads
         gram = multikey_classes(blob, base + off, k, np.zeros(len(off), np.int64))
-        active = np.nonzero((np.bincount(gram)[gram] > 1) | edge)[0]
+        active = np.nonzero(np.bincount(gram)[gram] > 1)[0]
         count = size - n + 1
         blocks = int(count[active].sum() // WINDOWS) + 1
         found = []
@@ -169,31 +183,73 @@ def _compare(n: int, k: int):
             repeats = np.bincount(label, np.where(many[who], 2, 1))[label] > 1 if len(label) else np.zeros(0, bool)
             mine = repeats & ~many[who]
             found.append(who[mine] * n + j[mine])
-            at_edge = np.nonzero(edge[who])[0]
-            for part in np.array_split(at_edge, 1 + len(at_edge) // 65536):
-                if len(part):
-                    yield from _edge_rows(blob, base, size, who[part], j[part], repeats[part], t1, t2, first, n)
         hits = np.sort(np.concatenate(found))
         if len(hits):
-            new = np.concatenate([[True], (hits[1:] != hits[:-1] + 1) | (hits[1:] // n != hits[:-1] // n)])
-            who, begin, end = hits[new] // n, hits[new] % n, np.append(hits[:-1][new[1:]], hits[-1]) % n
-            yield _rows(_KNOWN, t1[who], t2[who], first[who] + begin, first[who] + end + n)
+            yield _with_body(_hit_rows(hits, t1, t2, first, n))
 
     return run
 
 
-def _edge_rows(blob, base, size, who, j, repeats, t1, t2, first, n):
-    """Window rows of the bucket's first and last lead."""
-    mine = np.unique(who)
-    at = np.concatenate([[0], np.cumsum(size[mine])])
-    local = np.concatenate([blob[base[w] : base[w] + size[w]] for w in mine])
-    w1, w2 = _window_hashes(local, at[np.searchsorted(mine, who)] + j, n)
-    note = np.unique(np.stack([w1[repeats], w2[repeats]]), axis=1)
-    none = np.zeros(note.shape[1], np.int64)
-    yield _rows(_NOTE, none, none, none, none, note[0], note[1])
-    once = ~repeats
-    s = first[who[once]] + j[once]
-    yield _rows(_ONCE, t1[who[once]], t2[who[once]], s, s + n, w1[once], w2[once])
+def _hit_rows(hits, t1, t2, first, n) -> pa.RecordBatch:
+    """Intervals of the strings ``hits`` (stretch * n + place in it, sorted);
+    strings in a row are one interval."""
+    new = np.concatenate([[True], (hits[1:] != hits[:-1] + 1) | (hits[1:] // n != hits[:-1] // n)])
+    who, begin, end = hits[new] // n, hits[new] % n, np.append(hits[:-1][new[1:]], hits[-1]) % n
+    return _rows(_KNOWN, t1[who], t2[who], first[who] + begin, first[who] + end + n)
+
+
+def _core_rows(edge, body, off, many, t1, t2, first, n, k):
+    """Bytes that hold the strings of one core: ``w1`` is a hash of the core,
+    ``w2`` the bucket."""
+    from pyspark import TaskContext
+    from xxhash import xxh64_intdigest
+
+    kind, who, start, key, part = [], [], [], [], []
+    for i in edge:
+        x, o = body[i], int(off[i])
+        for least in range(max(0, o - len(x) + n) // PLACES * PLACES, min(n - k, o) + 1, PLACES):
+            most = min(least + PLACES - 1, n - k)  # places of the anchor in a string
+            begin = max(0, o - most)
+            kind.append(_CORE + bool(many[i])), who.append(i), start.append(begin)
+            key.append(xxh64_intdigest(x[o - least : o - most + n], least) >> 1), part.append(x[begin : o - least + n])
+    at, begin = np.array(who, np.int64), np.array(start, np.int64)
+    bucket = np.full(len(at), TaskContext.get().partitionId(), np.int64)
+    rows = _rows(_CORE, t1[at], t2[at], first[at] + begin, np.zeros(len(at), np.int64), np.array(key, np.int64), bucket)
+    yield _with_body(rows, part).set_column(0, "kind", pa.array(kind, pa.int32()))
+
+
+def _core_strings(n: int):
+    """The strings of ``n`` bytes of the rows of cores: intervals of those that
+    repeat in a batch, a note of each of these, and the others."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind, t1, t2, first = (batch.column(c).to_numpy() for c in ("kind", "t1", "t2", "s"))
+            body, many = values(batch.column("body")), kind > _CORE
+            size = np.fromiter(map(len, body), np.int64, len(body))
+            base = np.concatenate([[0], np.cumsum(size)[:-1]])
+            here = size - n + 1
+            who = np.repeat(np.arange(len(body)), here)
+            j = np.arange(len(who)) - np.repeat(np.cumsum(here) - here, here)
+            w1, w2 = _window_hashes(np.frombuffer(b"".join(body), np.uint8), base[who] + j, n)
+            order = np.lexsort((w2, w1))
+            new = np.concatenate([[True], (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])])
+            label = np.empty(len(order), np.int64)
+            label[order] = np.cumsum(new) - 1
+            repeats = np.bincount(label, np.where(many[who], 2, 1))[label] > 1
+            note = order[new][repeats[order[new]]]
+            none = np.zeros(len(note), np.int64)
+            yield _rows(_NOTE, none, none, none, none, w1[note], w2[note])
+            once = ~repeats
+            s = first[who[once]] + j[once]
+            yield _rows(_ONCE, t1[who[once]], t2[who[once]], s, s + n, w1[once], w2[once])
+            mine = repeats & ~many[who]
+            if mine.any():
+                yield _hit_rows(np.sort(who[mine] * n + j[mine]), t1, t2, first, n)
+
+    return run
 
 
 def repeated_intervals(held: DataFrame, n: int = BYTES, k: int = GRAM) -> DataFrame:
@@ -205,11 +261,16 @@ def repeated_intervals(held: DataFrame, n: int = BYTES, k: int = GRAM) -> DataFr
     rows, schema = _stretch_rows(n)
     bucketed = held.mapInArrow(rows, schema).repartitionByRange(buckets, "lead", "salt")
     compared = store(bucketed.mapInArrow(_compare(n, k), _COMPARED), "suffix-buckets")
-    edges = compared.filter(F.col("kind") != _KNOWN)
+    cores = compared.filter(F.col("kind") >= _CORE)
+    shared = cores.groupBy("w1").agg(F.min("w2").alias("b1"), F.max("w2").alias("b2")).filter("b1 < b2").select("w1")
+    strings = store(cores.join(shared, "w1").mapInArrow(_core_strings(n), _STRINGS), "suffix-cores")
+    edges = strings.filter(F.col("kind") != _KNOWN)
+    # a note of a batch stands for two places or more
     common = edges.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     across = edges.filter(F.col("kind") == _ONCE).join(common, ["w1", "w2"])
     cols = ("t1", "t2", "s", "e")
-    return compared.filter(F.col("kind") == _KNOWN).select(*cols).union(across.select(*cols))
+    known = [x.filter(F.col("kind") == _KNOWN).select(*cols) for x in (compared, strings)]
+    return known[0].union(known[1]).union(across.select(*cols))
 
 
 def cut_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES, k: int = GRAM) -> DataFrame:
