@@ -33,6 +33,7 @@ DEFAULTS = {
     "preferred_job_type": "",
     "availability": "",
 }
+EMPTY_LISTS = ("preferred_locations", "skills", "education", "projects", "internships", "certifications", "saved_jobs")
 THIRD_PARTY_NAME = "Google User"
 RULES = ("name", "email", "password", "mobile", "work_status")
 
@@ -91,6 +92,23 @@ def signup_batch(users: DataFrame, batch: DataFrame, now: Column | None = None)
     the rest are created with defaults and a timestamp.  Output: every batch
     row with ``status`` (``created`` / ``rejected``) and ``reason``."""
     now = now if now is not None else F.current_timestamp()
+    b = _decided(users, batch)
+    reason = F.col("_reason")
+    return b.select(
+        "user_id",
+        "email_norm",
+        strip_ws(F.col("name")).alias("name"),
+        strip_ws(F.col("mobile")).alias("mobile"),
+        F.coalesce(F.nullif("work_status", F.lit("")), F.lit(DEFAULTS["work_status"])).alias("work_status"),
+        F.lit(DEFAULTS["experience_level"]).alias("experience_level"),
+        F.when(reason.isNull(), "created").otherwise("rejected").alias("status"),
+        reason.alias("reason"),
+        F.when(reason.isNull(), now).alias("created_at"),
+    )
+
+
+def _decided(users: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch with ``email_norm`` and ``_reason``, null for those to create."""
     b = batch.withColumn("_failed", failed_rules(batch)).withColumn("email_norm", email_norm())
     existing = users.filter(F.col("email").isNotNull()).select(email_norm().alias("email_norm")).distinct()
     existing = existing.withColumn("_taken", F.lit(True))
@@ -104,17 +122,67 @@ def signup_batch(users: DataFrame, batch: DataFrame, now: Column | None = None)
         .when(F.coalesce("_taken", F.lit(False)), F.lit("email_exists"))
         .when(F.col("user_id") != F.col("_first_id"), F.lit("email_exists"))
     )
-    return b.select(
+    return b.withColumn("_reason", reason).drop("_failed", "_taken", "_first_id")
+
+
+def _new_users(rows: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Rows (user_id, email_norm, name, …) as new users: what a row gives, else
+    the default; lists take the type of the users' column."""
+    types = {f.name: f.dataType for f in users.schema.fields}
+    given = {c: F.coalesce(F.nullif(c, F.lit("")), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in DEFAULTS.items()}
+    lists = {c: F.array().cast(types.get(c, "array<string>")) for c in EMPTY_LISTS}
+    kept = [F.col(c) for c in rows.columns if c not in {*given, *lists, "user_id", "name", "email", "email_norm", "mobile", "_reason"}]
+    return rows.select(
         "user_id",
-        "email_norm",
         strip_ws(F.col("name")).alias("name"),
-        strip_ws(F.col("mobile")).alias("mobile"),
-        F.coalesce(F.nullif("work_status", F.lit("")), F.lit(DEFAULTS["work_status"])).alias("work_status"),
-        F.lit(DEFAULTS["experience_level"]).alias("experience_level"),
-        F.when(reason.isNull(), "created").otherwise("rejected").alias("status"),
-        reason.alias("reason"),
-        F.when(reason.isNull(), now).alias("created_at"),
+        F.col("email_norm").alias("email"),
+        (strip_ws(F.col("mobile")) if "mobile" in rows.columns else F.lit(None).cast("string")).alias("mobile"),
+        *kept,
+        *[v.alias(c) for c, v in {**given, **lists}.items()],
+        F.lit(True).alias("email_notifications"),
+        now.alias("created_at"),
+        now.alias("updated_at"),
+    )
+
+
+SIGN_UP_FIELDS = ("name", "email", "mobile", "password_length", "work_status")
+
+
+def sign_up(users: DataFrame, batch: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(users after, rejects (user_id, email_norm, reason)) of a batch of
+    sign-ups, decided as by ``signup_batch``.  A sign-up gives its five fields
+    only; every other field of a new user has its default.  Columns that the
+    users lack are null for those who were there."""
+    now = now if now is not None else F.current_timestamp()
+    b = _decided(users, batch.select("user_id", *SIGN_UP_FIELDS))
+    new = _new_users(b.filter(F.col("_reason").isNull()), users, now)
+    rejects = b.filter(F.col("_reason").isNotNull()).select("user_id", "email_norm", F.col("_reason").alias("reason"))
+    return users.unionByName(new, allowMissingColumns=True), rejects
+
+
+def third_party_sign_in(users: DataFrame, profiles: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(users after, outcomes (profile_id, status, user_id)) of sign-ins with
+    another party's profile (``profile_id``, ``display_name``, ``given_name``,
+    ``email``): who has the email is signed in (of several users the least id);
+    else the first profile of an email (least id) becomes a user under its
+    ``profile_id`` and later ones sign in to it.  Without an email: ``no_email``."""
+    now = now if now is not None else F.current_timestamp()
+    p = profiles.withColumn("email_norm", email_norm())
+    p = p.withColumn("email_norm", F.nullif("email_norm", F.lit("")))
+    asked = p.filter(F.col("email_norm").isNotNull())
+    first = asked.groupBy("email_norm").agg(F.min("profile_id").alias("_first"))
+    held = users.filter(F.col("email").isNotNull()).groupBy(email_norm().alias("email_norm")).agg(F.min("user_id").alias("_holder"))
+    owner = first.join(held, "email_norm", "left")
+    j = asked.join(owner, "email_norm")
+    creates = F.col("_holder").isNull() & (F.col("profile_id") == F.col("_first"))
+    said = j.select(
+        "profile_id", F.when(creates, "created").otherwise("signed_in").alias("status"), F.coalesce("_holder", "_first").alias("user_id")
     )
+    none = p.filter(F.col("email_norm").isNull()).select("profile_id", F.lit("no_email").alias("status"), F.lit(None).cast("long").alias("user_id"))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    name = F.coalesce(blank("display_name"), blank("given_name"), F.lit(THIRD_PARTY_NAME))
+    new = _new_users(j.filter(creates).select(F.col("profile_id").alias("user_id"), name.alias("name"), "email_norm"), users, now)
+    return users.unionByName(new, allowMissingColumns=True), said.unionByName(none)
 
 
 def skills(users: DataFrame) -> Column:

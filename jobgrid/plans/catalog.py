@@ -48,8 +48,11 @@ def load_all() -> None:
         q_emails,
         q_landing,
         q_listings,
+        q_ranked,
         q_saved,
+        q_saved_elements,
         q_scalars,
+        q_signup,
         q_sinks,
         q_state,
         q_stream,
