@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -101,10 +102,12 @@ def spread(df: DataFrame) -> DataFrame:
     A file that is one Parquet row group (or an unsplittable format) is read
     by one task, and every narrow step after it runs serially until the first
     shuffle.  When the scan has fewer partitions than the default parallelism,
-    a round-robin repartition spreads it; a normally split table (many files
-    or row groups) is returned unchanged, with no extra shuffle."""
+    its rows are dealt by their place in it, which a scan repeats; unlike a
+    round-robin repartition that needs no sort of what a task has read, and the
+    tasks are as many as the session's shuffles have, joined by AQE when small.
+    A normally split table (many files or row groups) is returned unchanged,
+    with no extra shuffle.  ``df`` must be a scan."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.withColumn("_at", F.monotonically_increasing_id()).repartition("_at").drop("_at")
     return df
-

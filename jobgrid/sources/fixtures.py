@@ -113,13 +113,15 @@ _STORED: dict[tuple, str] = {}
 def stored(spark: SparkSession, key: tuple, build, partition_by: str | None = None) -> DataFrame:
     """Materialise ``build()`` once per session into the shared folder and
     read it back: a table derived from the given tables, written the way the
-    engine stores its own tables (several files, optionally partitioned)."""
+    engine stores its own tables (several files, optionally partitioned).
+
+    Each task writes what it has: dealing the finished rows out once more would
+    shuffle, sort and spill the whole table, on as many tasks as cores."""
     k = (spark.sparkContext.applicationId, *key)
     path = _STORED.get(k)
     if path is None:
-        df = build()
         path = scratch_path(spark, "table-" + "-".join(str(x).strip("/").replace("/", "_") for x in key))
-        w = df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite")
+        w = build().write.mode("overwrite").option("compression", "zstd")
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
         _STORED[k] = path
     return spark.read.parquet(path)

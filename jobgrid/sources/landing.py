@@ -162,18 +162,24 @@ def run_id_expr(k: int) -> Column:
 
 def build_landing(listings: DataFrame, k: int | None = None) -> DataFrame:
     """Wrap fixture listings back into each source's response pages: one run
-    per month (and job-id shard), one body per (run, source, page)."""
+    per month (and job-id shard), one body per (run, source, page).
+
+    The listings are shuffled once, as they are: a partial list before the
+    shuffle would shrink nothing, and what a record derives from its columns is
+    made after it."""
     k = shard_chars(listings) if k is None else k
-    base = listings.withColumn("run_id", run_id_expr(k))
-    rec = F.struct(
-        "job_id", "title", "company", "location", "stipend", "duration", "job_url",
-        F.col("scraped_date").cast("string").alias("day"),
-        F.split_part("location", F.lit(", "), F.lit(1)).alias("loc1"),
-        F.split_part("location", F.lit(", "), F.lit(2)).alias("loc2"),
-    )
+    base = listings.repartition(run_id_expr(k), "source", "page").withColumn("run_id", run_id_expr(k))
+    rec = F.struct("job_id", "title", "company", "location", "stipend", "duration", "job_url", "scraped_date")
     grouped = base.groupBy("run_id", "source", "page").agg(
         F.sort_array(F.collect_list(rec)).alias("recs"), F.min("scraped_date").alias("day")
     )
+    full = lambda r: F.struct(
+        *(r[c].alias(c) for c in ("job_id", "title", "company", "location", "stipend", "duration", "job_url")),
+        r["scraped_date"].cast("string").alias("day"),
+        F.split_part(r["location"], F.lit(", "), F.lit(1)).alias("loc1"),
+        F.split_part(r["location"], F.lit(", "), F.lit(2)).alias("loc2"),
+    )
+    grouped = grouped.withColumn("recs", F.transform("recs", full))
     p = F.col("page")
     day = F.col("day").cast("string")  # the run's fetch day: first day of the group
 
