@@ -4,27 +4,28 @@ Queries are regular expressions, so a listing can match any of them; comparing
 every query with every listing costs their product.  Instead:
 
 * listings are cut to their distinct field texts, with how many listings have
-  each (a title, a company or a place stands in many);
+  each, and these to distinct values (a title, a company or a place stands in
+  many): patterns meet values, never listings;
 * every query is read for the literal strings that a match must hold (``factors``:
-  for each way the pattern can match, one run of plain characters); a listing
-  text that has none of the query's factor trigrams cannot match it;
-* the distinct texts are indexed by trigram, queries meet them by an equi-join on
+  for each way the pattern can match, one run of plain characters); a value
+  that has none of the query's factor trigrams cannot match it;
+* the distinct values are indexed by trigram, queries meet them by an equi-join on
   the rarest trigrams of their factors, and the regular expression only verifies
-  what is left.  A trigram that very many texts hold is a hot key of that join,
+  what is left.  A trigram that very many values hold is a hot key of that join,
   and AQE splits it;
 * a query without a factor of three characters (``.*``, ``a|b``, ``c+``) can match
-  any text: it is *open*, and is verified against the distinct texts, in blocks
-  of queries dealt over the cluster, because its answer may be all of them.
+  any text: it is *open*, and is verified against the distinct values, in blocks
+  of queries dealt over the cluster, because its answer may be all of them;
+* the queries that match a value become lists of numbers, cut to blocks of at most
+  about ``BLOCK`` queries; a text takes the lists of its fields, and counts once for
+  each query in any of them, in the task that holds it: only partial counts travel.
 
-One path serves every number of queries; nothing comes to the driver.  Hits are
-counted by listing, each once however many fields match.
+One path serves every number of queries; two numbers come to the driver.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
-from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,11 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobgrid.operators.filters import java_pattern
+from jobgrid.session import cut_lineage
 
 FIELDS = ("title", "company", "location")
 GRAM = 3
 #: alternatives that a pattern is read into; with more it is open
 MOST_FACTORS = 64
+#: queries in a list of those that match a value
+BLOCK = 10_000
 
 
 # ---- factors of a pattern -----------------------------------------------------------
@@ -172,21 +176,24 @@ def _grams(text: Column) -> Column:
 
 
 def field_texts(listings: DataFrame) -> DataFrame:
-    """(text_id, title, company, location, n): distinct field texts and how
-    many listings have them."""
-    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in FIELDS]
-    return listings.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).withColumn("text_id", F.sha1(F.concat(*marked)))
+    """(title, company, location, n): distinct field texts and how many
+    listings have them."""
+    return listings.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n"))
 
 
-def gram_index(texts: DataFrame) -> DataFrame:
-    """(gram, text_id): the trigrams of each text's fields, in small letters."""
-    small = [F.lower(F.translate(F.coalesce(F.col(c), F.lit("")), *FOLDED)) for c in FIELDS]
-    held = F.array_distinct(F.flatten(F.array(*(_grams(c) for c in small))))
-    return texts.select("text_id", F.explode(held).alias("gram"))
+def field_values(texts: DataFrame) -> DataFrame:
+    """(value): the distinct values of all fields."""
+    return texts.select(F.explode(F.array_distinct(F.array(*FIELDS))).alias("value")).filter("value IS NOT NULL").distinct()
+
+
+def gram_index(values: DataFrame) -> DataFrame:
+    """(gram, value): the trigrams of each value, in small letters."""
+    held = _grams(F.lower(F.translate(F.col("value"), *FOLDED)))
+    return values.select("value", F.explode(held).alias("gram"))
 
 
 def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(q, text_id) of the texts that hold the rarest trigram of one of the
+    """(q, value) of the values that hold the rarest trigram of one of the
     query's factors."""
     wanted = queries.select("q", F.explode("factors").alias("factor")).select("q", "factor", F.explode(_grams(F.col("factor"))).alias("gram"))
     near = index.join(wanted.select("gram").distinct(), "gram", "left_semi")
@@ -194,30 +201,48 @@ def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:
     rarest = F.row_number().over(Window.partitionBy("q", "factor").orderBy(F.coalesce("df", F.lit(0)), "gram"))
     # a trigram that no text holds rules its factor out
     probe = wanted.join(held, "gram", "left").withColumn("_rn", rarest).filter("_rn = 1 AND df > 0")
-    return probe.select("q", "gram").distinct().join(near, "gram").select("q", "text_id").distinct()
+    return probe.select("q", "gram").distinct().join(near, "gram").select("q", "value").distinct()
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
-    """(q, results): listings of the pairs (q, java, fields, n) that match."""
-    pattern = F.concat(F.lit("(?iu)"), F.col("java"))
-    hit = reduce(or_, (F.rlike(F.col(c), pattern) for c in FIELDS))
-    return pairs.filter(F.coalesce(hit, F.lit(False))).groupBy("q").agg(F.sum("n").alias("results"))
+    """(no, value) of the pairs (no, java, value) that match."""
+    return pairs.filter(F.rlike("value", F.concat(F.lit("(?iu)"), F.col("java")))).select("no", "value")
+
+
+def value_matches(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """(no, value): the values that each query (no, q, java, factors) matches."""
+    closed = queries.filter("factors IS NOT NULL")
+    near = candidates(closed, gram_index(values)).join(closed.select("q", "no", "java"), "q")
+    # open queries go to every shard of the values; a shard's pairs are streamed, query by query, into the filter
+    shards = F.lit(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wide = queries.filter("factors IS NULL AND java IS NOT NULL AND q <> ''")
+    wide = wide.select("no", "java", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
+    dealt = values.withColumn("shard", F.pmod(F.xxhash64("value"), shards).cast("int"))
+    return _verified(near).unionByName(_verified(wide.hint("merge").join(dealt, "shard")))
+
+
+def text_hits(texts: DataFrame, matches: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(no, results): listings with a field that the query matches."""
+    most = matches.groupBy("value").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = F.lit(int(most) // int(block) + 1)
+    lists = matches.groupBy("value", F.pmod(F.xxhash64("no"), blocks).cast("int").alias("block")).agg(F.collect_list("no").alias("nos"))
+    held = texts.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    for c in FIELDS:
+        held = held.join(lists.select(F.col("value").alias(c), "block", F.col("nos").alias(f"_{c}")), [c, "block"], "left")
+    none = F.array().cast("array<bigint>")
+    every = F.array_distinct(F.concat(*(F.coalesce(f"_{c}", none) for c in FIELDS)))
+    return held.select(F.explode(every).alias("no"), "n").groupBy("no").agg(F.sum("n").alias("results"))
 
 
 def query_hits(listings: DataFrame, qs: DataFrame) -> DataFrame:
     """(q, results) for each distinct ``q``; empty q counts all rows; an
     invalid pattern gives a null count (the endpoint's error)."""
-    queries, texts = read_queries(qs), field_texts(listings)
-    closed = queries.filter("factors IS NOT NULL")
-    near = candidates(closed, gram_index(texts)).join(texts, "text_id").join(closed.select("q", "java"), "q")
-    # open queries go to every shard of the texts; a shard's pairs are streamed, query by query, into the filter
-    shards = F.lit(int(listings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    wide = queries.filter("factors IS NULL AND java IS NOT NULL AND q <> ''")
-    wide = wide.select("q", "java", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("text_id"), shards).cast("int"))
-    hits = _verified(near).unionByName(_verified(wide.hint("merge").join(dealt, "shard")))
+    queries = cut_lineage(read_queries(qs).withColumn("no", F.monotonically_increasing_id()), "search-queries")
+    texts = cut_lineage(field_texts(listings), "search-texts")
+    matches = cut_lineage(value_matches(queries, field_values(texts)), "search-matches")
+    hits = text_hits(texts, matches)
     total = listings.agg(F.count(F.lit(1)).alias("n")).scalar()
-    found = queries.select("q", "java").join(hits, "q", "left")
+    found = queries.select("q", "java", "no").join(hits, "no", "left")
     results = F.when(F.col("q") == "", total).when(F.col("java").isNotNull(), F.coalesce("results", F.lit(0)))
     return found.select("q", results.cast("bigint").alias("results"))
 
