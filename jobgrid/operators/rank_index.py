@@ -7,7 +7,9 @@ it, ``<root>/ranges`` the rows of each range (``n``) and the rank of its first
 leading value lies in several of them, and a rank is ``first + pos``: no window
 over the table or over a key.  A page reads the one or two ranges that hold it.
 What one task sums up, and what comes to the driver for a page, are range
-numbers (rows / ``RANGE_ROWS``).  An empty table has one range without rows.
+numbers: rows / ``RANGE_ROWS``, and at most ``MOST_RANGES`` (a larger table has
+longer ranges), since each is a task and a folder, and every task before the
+shuffle writes a block for each.  An empty table has one range without rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from jobgrid.operators.filters import with_type
 from jobgrid.operators.paging import LISTING_ORDER, _check
 
 RANGE_ROWS = 500_000
+MOST_RANGES = 1000
 #: ``monotonically_increasing_id``: the partition above 33 bits, the row in it below
 _ROW_BITS = 33
 #: copies of each page in the feed's last join, so that users of one page lie in as many tasks
@@ -37,9 +40,10 @@ class RankIndex:
 
     @staticmethod
     def build(df: DataFrame, root: str, order: tuple[str, ...] = LISTING_ORDER, range_rows: int = RANGE_ROWS) -> RankIndex:
-        """Write ``df`` by ranges of ``order``, which must be total."""
+        """Write ``df`` by ranges of ``order``, which must be total; ``range_rows``
+        in each, or more in a table that would have over ``MOST_RANGES``."""
         index = RankIndex(df.sparkSession, root, df.schema, tuple(order))
-        ranges = df.count() // int(range_rows) + 1
+        ranges = min(df.count() // int(range_rows) + 1, MOST_RANGES)
         at = F.monotonically_increasing_id()
         placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("pos", at)
         r = F.shiftrightunsigned("pos", _ROW_BITS).cast("int")

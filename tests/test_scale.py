@@ -3,8 +3,12 @@
 
 from __future__ import annotations
 
+import os
+
+from jobgrid.operators import rank_index, search_index
 from jobgrid.session import scratch_path, spread
 from jobgrid.sources import fixtures as fx
+from jobgrid.sources import keyed
 from jobgrid.sources.landing import build_landing
 
 
@@ -36,3 +40,33 @@ def test_landing_shuffles_the_listings_once(spark, small_dir):
     plan = plan_of(pages)
     assert plan.count("Exchange") == 1
     assert plan.index("partial_collect_list") < plan.index("Exchange")  # above it: no partial lists travel
+
+
+def test_search_counts_texts_without_listing_pairs(spark):
+    texts = spark.createDataFrame([("red gear", "x", "Pune", 5), ("ring", "gear", None, 2), (None, None, "Pune", 1)], "title string, company string, location string, n long")
+    matches = spark.createDataFrame([(n, v) for n in range(40) for v in ("red gear", "gear")] + [(99, "Pune"), (99, "red gear")], "no long, value string")
+    for block in (7, 10_000):
+        hits = search_index.text_hits(texts, matches, block)
+        assert {r.no: r.results for r in hits.collect()} == {**{n: 7 for n in range(40)}, 99: 6}
+    values = search_index.field_values(texts)
+    assert sorted(r.value for r in values.collect()) == ["Pune", "gear", "red gear", "ring", "x"]
+
+
+def test_a_large_table_has_a_bounded_number_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(rank_index, "MOST_RANGES", 4)
+    index = rank_index.RankIndex.build(spark.range(1000).selectExpr("id"), scratch_path(spark, "many"), ("id",), 10)
+    assert index.ranges().count() <= 4
+    assert [x.id for x in rank_index.page(index, 31, 10).collect()] == list(range(300, 310))
+
+
+def test_a_bucket_is_written_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).selectExpr("cast(id as string) AS job_id", "'x' AS title")
+        table = keyed.KeyedTable(spark, scratch_path(spark, "keyed"), rows.schema, order=(), indexes={})
+        table.create(rows, buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    at = table.root.removeprefix("file:") + "/rows/v=0"
+    files = [f for b in ("b=0", "b=1") for f in os.listdir(f"{at}/{b}") if f.endswith(".parquet")]
+    assert len(files) > 2 and table.read().count() == 5000
