@@ -262,7 +262,10 @@ def joined_words(text: Column) -> Column:
 
     @F.arrow_udf("struct<n: long, joined: string>")
     def join(texts: pa.Array) -> pa.Array:
-        split = [t.split() for t in values(texts)]
-        return pa.StructArray.from_arrays([pa.array([len(w) for w in split], pa.int64()), pa.array([b" ".join(w).decode() for w in split], pa.string())], fields=list(kind))
+        n, joined = [], []
+        for t in values(texts):  # the words of one text at a time, not of the whole batch
+            words = t.split()
+            n.append(len(words)), joined.append(b" ".join(words).decode())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(joined, pa.string())], fields=list(kind))
 
     return join(text)
