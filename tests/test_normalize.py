@@ -192,3 +192,33 @@ def test_ids_are_object_ids_and_unique(spark):
     assert len(set(x.lower() for x in ids)) == len(ids) and all(len(x) == 24 and int(x, 16) >= 0 for x in ids)
     assert ids[3] == hexed
     assert ids == [r.job_id for r in N.assign_job_ids(df.repartition(5)).orderBy("run_id", "pos").collect()]
+
+
+def test_plain_markup_gives_the_tree_of_the_parser():
+    def shape(n):
+        return n.tag, n.attrs, n.cls, [c if isinstance(c, str) else shape(c) for c in n.children]
+
+    def parsed(body):
+        b = H._Builder()
+        b.feed(body)
+        b.close()
+        return b.root
+
+    plain = ['<ul><li class="a b">x &amp; y &lt z<br>t</li></ul>tail & co', '<p class="a" class="b"><b>x</p>y</i>', "", "no tags",
+             '<a href="/q?a=1&amp;b=&quot;2&quot;"></a><meta itemprop="i" content="1"><div id="d">\n é </div>']
+    other = ["<P>x</P>", "a < b", "<p", "<!-- c --><p>x</p>", "<a href=x>y</a>", "<br/>z", '<a href="?a=1&copy=2">y</a>',
+             "<script>if (a<b) x()</script>", "<style>p { }</style><p>x</p>", "<p\nclass='a'>x</p>", "<title><b>x</b></title>", "x &amp"]
+    for body in plain:
+        assert H._parse_plain(body) is not None and shape(H.parse(body)) == shape(parsed(body))
+    for body in other:
+        assert shape(H.parse(body)) == shape(parsed(body))
+
+
+def test_json_bodies_are_parsed_once(spark):
+    for source, body in (("Unstop", '{"data":{"data":[{"title":"t"}]}}'), ("Naukri", '{"results":[{"title":"t"}]}')):
+        rows = [("r", source, 1, 200, body, "2024-01-01 00:00:00"), ("r", source, 2, 200, "{", None), ("r", source, 3, 500, body, None),
+                ("r", source, 4, 200, '{"results":[]}', None)]
+        recs = N.json_records(spark.createDataFrame(rows, LANDING_SCHEMA), source, source_config(spark))
+        plan = recs._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("parse_json") + plan.count("parseJson") == 1, plan
+        assert [(r["page"], r["pos"]) for r in recs.collect()] == [(1, 0)]
