@@ -222,3 +222,19 @@ def test_json_bodies_are_parsed_once(spark):
         plan = recs._jdf.queryExecution().optimizedPlan().toString()
         assert plan.lower().count("parse_json") + plan.count("parseJson") == 1, plan
         assert [(r["page"], r["pos"]) for r in recs.collect()] == [(1, 0)]
+
+
+def test_written_rows_with_clear_ids_are_not_shuffled(spark):
+    def rows(*ids):
+        data = [(i, "r1" if k < 3 else "r2", 1, k, f"t{k % 2}", "c", "u", "Naukri") for k, i in enumerate(ids)]
+        return spark.createDataFrame(data, "job_id string, run_id string, page int, pos int, title string, company string, job_url string, source string")
+
+    a, b, c = ("a" * 24, "b" * 24, "c" * 24)
+    clear = rows(a, b, c, a)  # an id may come again in another run
+    kept = N.assign_written_ids(clear)
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(kept.collect()) == sorted(N.assign_job_ids(clear).collect())
+    for ids in ((a, b, None, c), (a, b, a, c), (a, "x", b, c), (a, a.upper(), b, c)):
+        got = N.assign_written_ids(rows(*ids))
+        assert sorted(got.collect()) == sorted(N.assign_job_ids(rows(*ids)).collect())
+        assert got.groupBy("run_id", "job_id").count().filter("count > 1").count() == 0
