@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import json
 import os
+import re
 import string
 import unicodedata
 import zlib
@@ -42,12 +43,15 @@ from jobgrid.llm.frames import store, text_of
 SIZE = 2048
 END_ID = 1
 #: words in a generation of the cache; two are kept
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 
-#: what may stand beside a stop or comma that is a unit of its own
+#: what may stand beside a run of marks, which is a unit of its own
 _PLAIN = (string.ascii_letters + string.digits + string.whitespace + ".,").encode()
 _MARKS_TOGETHER = (b"..", b",,", b".,", b",.")
+#: an apostrophe may be one unit with the letters after it
+_MARKS = string.punctuation.replace("'", "").encode()
+_RUNS = re.compile(b"[" + re.escape(_MARKS) + b"]+")
 
 
 class WordCache(Cache):
@@ -100,13 +104,14 @@ class WordEncoder:
         return self.folded[c]
 
     def _words(self, text: bytes) -> list[bytes]:
-        """Blank-separated parts.  A text of letters, digits, stops and commas
-        only is normalised first, as the tokenizer would: letters small, each
-        by itself; and stops and commas, if no two meet, are cut off as the
-        units that they are, so that there are fewer kinds of words.  Letters
-        that change otherwise (into two, or with a mark beside them) leave the
-        text to the tokenizer, word by word."""
-        rest = text.translate(None, _PLAIN)  # other marks, and what is not ASCII
+        """Blank-separated parts.  A text of letters, digits and marks but the
+        apostrophe is normalised first, as the tokenizer would: letters small,
+        each by itself; and runs of marks are cut off as the units that they
+        are, so that there are fewer kinds of words.  Letters that change
+        otherwise (into two, or with a mark beside them), apostrophes and
+        control characters leave the text to the tokenizer, word by word."""
+        more = text.translate(None, _PLAIN)  # marks but stops and commas, and what is not ASCII
+        rest = more.translate(None, _MARKS)
         if rest:
             kinds = set(rest.decode())
             folds = {c: self._fold(c) for c in kinds if c > "\x7f"}
@@ -116,9 +121,9 @@ class WordEncoder:
                 if c != f:
                     text = text.replace(c.encode(), f.encode())
         text = text.lower()
-        if not any(m in text for m in _MARKS_TOGETHER):
-            text = text.replace(b".", b" .").replace(b",", b" ,")
-        return text.split()
+        if len(rest) < len(more) or any(m in text for m in _MARKS_TOGETHER):
+            return _RUNS.sub(rb" \g<0> ", text).split()
+        return text.replace(b".", b" . ").replace(b",", b" , ").split()
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         out = []
@@ -187,6 +192,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col
                 cols.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        batch = None
+        pa.default_memory_pool().release_unused()  # the process lives on; what the texts took does not
 
     src = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     kind = src.schema["id"].dataType.simpleString()
