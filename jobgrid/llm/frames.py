@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobgrid.session import shared_dir
@@ -11,6 +14,9 @@ from jobgrid.session import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows up to which a side may be broadcast after it has been counted
 BROADCAST_ROWS = 200_000
+#: rows of an Arrow batch of whole texts; 10000, Spark's own number, are tens of MB on either side of the pipe
+TEXT_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_of(col: str = "text") -> Column:
@@ -32,6 +38,17 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What runs inside gets Arrow batches of ``rows`` rows at most."""
+    before = int(spark.conf.get(_BATCH_ROWS))
+    spark.conf.set(_BATCH_ROWS, str(rows if before <= 0 else min(rows, before)))  # 0 and less: no limit
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, str(before))
+
+
 def store(df: DataFrame, what: str) -> DataFrame:
     """``df`` computed once and kept as a checkpoint in the folder that the
     cluster shares (``spark.checkpoint.dir``): a lost executor loses none of

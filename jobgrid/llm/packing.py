@@ -8,7 +8,8 @@ so only counts of packing patterns change.  Every slot of a pattern then owns a
 range of ranks among the pieces of its length, and pieces find their sequence
 and offset by (length, rank).
 
-Scale.  Tokenising is one pass over the texts; pieces are written once.  Ranks
+Scale.  Tokenising is one pass over the texts, in small Arrow batches, with a
+word cache of bounded size in each process; pieces are written once.  Ranks
 are counted within hash buckets of the rows, and a bucket's base is the sum of
 the smaller buckets' counts, so a length that a third of all pieces have is
 spread over all buckets.  Only the histogram comes to the driver, and only the
@@ -30,6 +31,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobgrid.llm.arrow import Cache, slices, values
-from jobgrid.llm.frames import store, text_of
+from jobgrid.llm.frames import small_batches, store, text_of
 
 SIZE = 2048
 END_ID = 1
 #: words in a generation of the cache; two are kept
 CACHED_WORDS = 200_000
+#: pieces that a task of the last step has at least, beyond one task a core
+TASK_PIECES = 100_000
 
 
 #: what may stand beside a run of marks, which is a unit of its own
@@ -55,12 +59,11 @@ _RUNS = re.compile(b"[" + re.escape(_MARKS) + b"]+")
 
 
 class WordCache(Cache):
-    """``Cache`` for many repeated keys: a list's new keys are found as a set."""
+    """``Cache`` for many repeated keys: the lists' new keys are found as a set."""
 
     def look_up(self, lists: list[list]) -> list[list]:
-        now, missing = self.now, set()
-        for keys in lists:
-            missing.update(set(keys).difference(now))
+        now = self.now
+        missing = set(chain.from_iterable(lists)).difference(now)
         if missing:
             old = self.old
             now.update((k, old[k]) for k in missing if k in old)
@@ -269,10 +272,12 @@ def assign(pieces: DataFrame, size: int = SIZE) -> DataFrame:
         F.broadcast(slots), (ranked["length"] == slots["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     ).select(
         *(ranked[c] for c in pieces.columns), (F.col("seq_from") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset"
-    )
+    ).coalesce(max(spark.sparkContext.defaultParallelism, sum(histogram.values()) // TASK_PIECES))  # a piece's row is small
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col="doc_id", text_col="text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset (and ``ids``)."""
-    return assign(store(token_pieces(docs, tokenizer_path, id_col, text_col, size, with_ids), "pieces"), size)
+    with small_batches(docs.sparkSession):
+        pieces = store(token_pieces(docs, tokenizer_path, id_col, text_col, size, with_ids), "pieces")
+    return assign(pieces, size)

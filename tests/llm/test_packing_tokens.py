@@ -38,3 +38,42 @@ def test_random_texts():
     pool = list("abcXYZ") * 4 + list(" .,\n\t") * 4 + list("0189'-_éÉèçßſKΣςσİıǰДя日本ก้ा́क़  🎉&<|>")
     assert differ(["".join(r.choice(pool) for _ in range(r.randrange(60))) for _ in range(6000)]) == []
     assert differ(["".join(r.choice("abÉé., ") for _ in range(r.randrange(40))) for _ in range(3000)]) == []
+
+
+def test_marks_are_units_in_all_texts():
+    assert differ(["Red&&& red!! (RED)", "a..b,,c", "x|y|z. É%%% é", "a_b <c> d@e.f", "1&2&&3", "don't&&& (we're)", "a\x7f&b", "=\u0338 <\u0338", "&\u0301a"]) == []
+    encoder = WordEncoder(PATH)
+    encoder([b"Red&&& red!! (RED) red... RED,&&&", "Étage*** étage".encode()])
+    assert set(encoder.cache.now) == {w.encode() for w in ("red", "&&&", "!!", "(", ")", "...", ",&&&", "étage", "***")}
+
+
+def test_process_keeps_a_bounded_number_of_words():
+    encoder = WordEncoder(PATH)
+    for part in range(4):
+        encoder([" ".join(f"w{part}x{i}" for i in range(part, part + 70_000)).encode()])
+    assert encoder.cache.limit <= 200_000 and len(encoder.cache.now) + len(encoder.cache.old) <= 2 * 200_000 + 70_000
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    from jobgrid.llm import packing
+
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    real = packing.store
+    monkeypatch.setattr(packing, "store", lambda df, what: (seen.append(int(spark.conf.get(key))), real(df, what))[1])
+    before = spark.conf.get(key)
+    rows = packing.pack(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), PATH).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in rows) == [(1, 3), (2, 1)]
+    assert seen == [1000] and spark.conf.get(key) == before
+
+
+def test_few_pieces_are_not_dealt_to_many_tasks(spark):
+    from jobgrid.llm import packing
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        rows = packing.pack(spark.createDataFrame([(i, "a b " * (i % 7)) for i in range(50)], "doc_id long, text string"), PATH)
+        assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and rows.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
