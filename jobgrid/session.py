@@ -105,6 +105,6 @@ def spread(df: DataFrame) -> DataFrame:
     A normally split table (many files or row groups) is returned unchanged,
     with no extra shuffle.  ``df`` must be a scan."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if df.rdd.getNumPartitions() < target or df.select(F.spark_partition_id()).distinct().count() < target:
         return df.withColumn("_at", F.monotonically_increasing_id()).repartition("_at").drop("_at")
     return df

@@ -5,6 +5,10 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from jobgrid.operators import rank_index, search_index
 from jobgrid.session import scratch_path, spread
 from jobgrid.sources import fixtures as fx
@@ -29,6 +33,21 @@ def test_spread_deals_rows_without_a_sort(spark):
     assert sorted(x.id for x in dealt.collect()) == list(range(1000))
 
 
+def test_a_large_row_group_is_spread(spark, tmp_path):
+    pq.write_table(pa.table({"id": range(20000)}), tmp_path / "one.parquet", compression="none", use_dictionary=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism  # all but one are empty
+        dealt = spread(scan)
+        held = dealt.select(F.spark_partition_id().alias("p"), "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(x.id for x in held) == list(range(20000)) and "Exchange" in plan_of(dealt)
+
+
 def test_stored_table_is_written_by_the_tasks_that_made_it(spark):
     rows = spark.range(0, 300, 1, 3)
     got = fx.stored(spark, ("scale-test",), lambda: rows)
