@@ -27,6 +27,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
     """The batches cut so that ``column`` has about ``most`` bytes in each (one
     longer value stays whole): what a task holds at a time."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         at, _ = utf8(batch.column(column))
         begin = 0
         while begin < batch.num_rows:
@@ -35,6 +37,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             begin = end
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, a generator over Arrow batches, after whose last batch Arrow's
+    free memory goes back to the system: the worker lives on."""
+
+    def ran(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return ran
+
+
 class Cache:
     """Values by key, made many at a time; holds two generations of ``limit``
     keys at most, so that memory is bounded and frequent keys stay."""

@@ -13,7 +13,7 @@ text from the start, and a task drops what it already holds before a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobgrid.llm.frames import store
-
-from jobgrid.llm.arrow import utf8, values
+from jobgrid.llm.arrow import lean, slices, utf8, values
+from jobgrid.llm.frames import small_batches, store
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: items worked on at a time, beside the windows that reach over the end
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: bytes of texts whose anchors a task compares before they are shuffled, and of compressed texts it
+#: holds inflated
+TEXT_BYTES, DEFLATED_BYTES = 4 << 20, 1 << 20
 _power: list[np.ndarray] = []
 
 
@@ -139,7 +141,7 @@ _ONCE, _KNOWN, _NOTE = 0, 1, 2
 
 def _anchors(items: Callable[[np.ndarray], np.ndarray], n: int, k: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             at, data = utf8(batch.column("text"))
             keys = [batch.column(c).to_numpy() for c in ("t1", "t2")]
             rows = []
@@ -165,7 +167,7 @@ def _anchors(items: Callable[[np.ndarray], np.ndarray], n: int, k: int):
                 "t1": np.concatenate([t1, none]), "t2": np.concatenate([t2, none]), "place": np.concatenate([place, none]),
             })
 
-    return run
+    return lean(run)
 
 
 def _repeating(batches):
@@ -205,7 +207,7 @@ def candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray], n: i
     stretches whose anchor gram stands in another place too."""
     anchors = texts.mapInArrow(_anchors(items, n, k), "route long, h long, kind int, t1 long, t2 long, place long")
     met = anchors.repartition("route").sortWithinPartitions(F.col("kind") != _KNOWN, "h", "t1", "t2", "place", "kind")
-    found = met.drop("route").mapInArrow(_repeating, "t1 long, t2 long, place long")
+    found = met.drop("route").mapInArrow(lean(_repeating), "t1 long, t2 long, place long")
     return found.groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
 
 
@@ -214,7 +216,9 @@ def deflated(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def deflate(texts: pa.Array) -> pa.Array:
-        return pa.array(list(map(zstandard.ZstdCompressor(level=3).compress, values(texts))), pa.binary())
+        at, data = utf8(texts)
+        raw, at, one = memoryview(data), at.tolist(), zstandard.ZstdCompressor(level=3)
+        return pa.array([one.compress(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())
 
     return deflate(text)
 
@@ -223,6 +227,11 @@ def inflated(column: pa.Array) -> list[bytes]:
     return list(map(zstandard.ZstdDecompressor().decompress, values(column)))
 
 
+def few_inflated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts (z) may be held ``inflated`` at once."""
+    return slices(batches, "z", DEFLATED_BYTES)
+
+
 def one_of_each(texts: DataFrame, order: str = "t1") -> DataFrame:
     """One row of each text, that with the least ``order``; copies go before
     the shuffle as far as a task sees them."""
@@ -234,7 +243,8 @@ def with_candidates(texts: DataFrame, items: Callable[[np.ndarray], np.ndarray],
     """The texts that have candidate stretches, once each and ``deflated`` (z),
     with their ``places``: a stored table."""
     small = texts.select(*(c for c in texts.columns if c != "text"), deflated(F.col("text")).alias("z"))
-    return store(one_of_each(small, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
+    with small_batches(texts.sparkSession):
+        return store(one_of_each(small, order).join(candidates(texts, items, n, k), ["t1", "t2"]), "repeat-texts")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

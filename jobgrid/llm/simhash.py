@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from jobgrid.llm.arrow import utf8
 from jobgrid.llm.components import connected_components
-from jobgrid.llm.frames import broadcast_if_small, free_name, store, text_of
+from jobgrid.llm.frames import broadcast_if_small, free_name, small_batches, store, text_of
 
 SHINGLE, SEED, DISTANCE, SEGMENT = 3, 42, 3, 32
 #: groups up to this size are compared pair by pair, larger ones by lookup
@@ -185,7 +185,8 @@ def classes(stored: DataFrame, id_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, fp, component_id) of every row: the fingerprint as a signed
     long and the smallest id reachable over links."""
-    stored = store(docs.select(F.col(id_col), fingerprint(text_of(text_col)).alias("fp")), "simhash")
+    with small_batches(docs.sparkSession):
+        stored = store(docs.select(F.col(id_col), fingerprint(text_of(text_col)).alias("fp")), "simhash")
     return stored.join(classes(stored, id_col), "fp").select(id_col, "fp", "component_id")
 
 
@@ -193,7 +194,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with one row of each class, one with its smallest id."""
     row, fp = free_name(docs, "simhash_row"), free_name(docs, "simhash_fp")
     stored = docs.withColumns({row: F.monotonically_increasing_id(), fp: fingerprint(text_of(text_col))})
-    stored = store(stored, "simhash-docs")
+    with small_batches(docs.sparkSession):
+        stored = store(stored, "simhash-docs")
     keys = stored.select(F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"), F.col(fp).alias("fp"))
     rows = store(keys.join(classes(keys, "id"), "fp").select("id", "row", "root", "component_id"), "simhash-classes")
     first = rows.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row").alias("first"))

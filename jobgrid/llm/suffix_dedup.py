@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobgrid.llm import repeats as R
-from jobgrid.llm.arrow import values
-from jobgrid.llm.frames import free_name, store, text_of
+from jobgrid.llm.arrow import lean, slices, values
+from jobgrid.llm.frames import free_name, small_batches, store, text_of
 
 BYTES, GRAM, LEAD = 200, 50, 16
 #: places of the anchor in a string that have one core
 PLACES = 31
-#: stretches of about this many bytes in a bucket, and windows compared at a time
-BUCKET_BYTES, WINDOWS = 16 << 20, 1 << 20
+#: stretches of about this many bytes in a bucket, windows compared at a time, and bytes of cores
+#: whose strings are
+BUCKET_BYTES, WINDOWS, CORE_BYTES = 4 << 20, 1 << 18, 1 << 19
 _ONCE, _KNOWN, _NOTE = 0, 1, 2
 #: strings of a bucket's first or last lead that share a core; plus 1 if the bucket holds them
 #: more than once
@@ -53,7 +54,7 @@ def multikey_classes(blob: np.ndarray, starts: np.ndarray, length: int, classes:
     ``length`` bytes are equal.  Multikey quicksort with keys of eight bytes:
     a class is partitioned by one key at a time, and only parts of two or more
     suffixes go on to the next."""
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([blob, np.zeros(8, np.uint8)]), 8)
+    windows = np.lib.stride_tricks.sliding_window_view(blob, 8)
     order = np.argsort(classes, kind="stable")
     begins = np.ones(len(order), bool)  # whether a class begins at a place in the order
     begins[1:] = classes[order][1:] != classes[order][:-1]
@@ -84,7 +85,7 @@ def _stretch_rows(n: int):
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in R.few_inflated(batches):
             texts = R.inflated(batch.column("z"))
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             seen: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
@@ -107,7 +108,7 @@ def _stretch_rows(n: int):
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lead", "salt", "kind", "body", "t1", "t2", "place"]
                 )
 
-    return run, "lead binary, salt long, kind int, body binary, t1 long, t2 long, place long"
+    return lean(run), "lead binary, salt long, kind int, body binary, t1 long, t2 long, place long"
 
 
 def _rows(kind, t1, t2, s, e, w1=None, w2=None) -> pa.RecordBatch:
@@ -187,7 +188,7 @@ def _compare(n: int, k: int):
         if len(hits):
             yield _with_body(_hit_rows(hits, t1, t2, first, n))
 
-    return run
+    return lean(run)
 
 
 def _hit_rows(hits, t1, t2, first, n) -> pa.RecordBatch:
@@ -223,9 +224,7 @@ def _core_strings(n: int):
     repeat in a batch, a note of each of these, and the others."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "body", CORE_BYTES):
             kind, t1, t2, first = (batch.column(c).to_numpy() for c in ("kind", "t1", "t2", "s"))
             body, many = values(batch.column("body")), kind > _CORE
             size = np.fromiter(map(len, body), np.int64, len(body))
@@ -249,7 +248,7 @@ def _core_strings(n: int):
             if mine.any():
                 yield _hit_rows(np.sort(who[mine] * n + j[mine]), t1, t2, first, n)
 
-    return run
+    return lean(run)
 
 
 def repeated_intervals(held: DataFrame, n: int = BYTES, k: int = GRAM) -> DataFrame:
@@ -259,8 +258,9 @@ def repeated_intervals(held: DataFrame, n: int = BYTES, k: int = GRAM) -> DataFr
     stretches = held.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(stretches * 1.5 * n) // BUCKET_BYTES + 1)
     rows, schema = _stretch_rows(n)
-    bucketed = held.mapInArrow(rows, schema).repartitionByRange(buckets, "lead", "salt")
-    compared = store(bucketed.mapInArrow(_compare(n, k), _COMPARED), "suffix-buckets")
+    with small_batches(spark):
+        bucketed = held.mapInArrow(rows, schema).repartitionByRange(buckets, "lead", "salt")
+        compared = store(bucketed.mapInArrow(_compare(n, k), _COMPARED), "suffix-buckets")
     cores = compared.filter(F.col("kind") >= _CORE)
     shared = cores.groupBy("w1").agg(F.min("w2").alias("b1"), F.max("w2").alias("b2")).filter("b1 < b2").select("w1")
     strings = store(cores.join(shared, "w1").mapInArrow(_core_strings(n), _STRINGS), "suffix-cores")
@@ -282,7 +282,7 @@ def cut_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES, k: int =
     spans = repeated_intervals(held, n, k).groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
     def cut(batches):
-        for b in batches:
+        for b in R.few_inflated(batches):
             starts, ends, kept, whole = [], [], [], []
             for text, spans in zip(R.inflated(b.column("z")), b.column("spans")):
                 s, e = R.merged(*(spans.values.field(x).to_numpy() for x in ("s", "e")))
@@ -301,7 +301,7 @@ def cut_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES, k: int =
             )
 
     schema = "t1 long, t2 long, starts array<long>, ends array<long>, kept binary, kept_text string"
-    return held.select("t1", "t2", "z").join(spans, ["t1", "t2"]).mapInArrow(cut, schema)
+    return held.select("t1", "t2", "z").join(spans, ["t1", "t2"]).mapInArrow(lean(cut), schema)
 
 
 def copied_texts(docs: DataFrame, text_col: str = "text", n: int = BYTES) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -59,6 +62,75 @@ def test_words_are_hashed_alike_in_blocks(monkeypatch):
     assert np.array_equal(whole, repeats.word_items(raw)) and len(whole) == 902
 
 
+def _peak(step, batch) -> float:
+    """MB that a worker holds at most while ``step`` reads one large batch."""
+    tracemalloc.start()
+    try:
+        for _ in step(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_holds_parts_of_a_large_batch():
+    r = np.random.default_rng(5)
+    common = [r.integers(97, 123, 400).astype(np.uint8) for _ in range(40)]
+    texts = [np.concatenate([common[i % 40], r.integers(97, 123, 2600).astype(np.uint8), common[(i * 7) % 40], r.integers(97, 123, 2600).astype(np.uint8)]) for i in range(4000)]
+    keys = pa.array(np.arange(4000))
+    batch = pa.RecordBatch.from_arrays([keys, keys, pa.array([t.tobytes().decode() for t in texts])], names=["t1", "t2", "text"])
+    repeats._powers(1)  # kept by the worker, whatever it reads
+    assert _peak(repeats._anchors(repeats.byte_items, 200, 50), batch) < 40
+
+    z, places = zstandard.ZstdCompressor(level=3).compress, []
+    for t in texts:
+        first, last, anchor, _ = repeats.stretches(repeats.byte_items(t), 200, 50)
+        places.append(repeats._packed(first, last, anchor).tolist())
+    batch = pa.RecordBatch.from_arrays(
+        [keys, keys, pa.array([z(t.tobytes()) for t in texts], pa.binary()), pa.array(places, pa.list_(pa.int64()))], names=["t1", "t2", "z", "places"]
+    )
+    assert _peak(suffix_dedup._stretch_rows(200)[0], batch) < 60
+
+
+def test_windows_compared_in_parts_give_the_same_intervals(monkeypatch):
+    r = np.random.default_rng(9)
+    base = r.integers(97, 100, 900).astype(np.uint8)
+    texts = [np.concatenate([r.integers(97, 100, 300).astype(np.uint8), base[i * 20 : i * 20 + 450], r.integers(97, 100, 200).astype(np.uint8)]) for i in range(20)]
+    rows = []
+    for i, t in enumerate(texts):
+        first, last, anchor, _ = repeats.stretches(repeats.byte_items(t), 200, 50)
+        for f, e, a, p in zip(first, last, anchor, repeats._packed(first, last, anchor).tolist()):
+            rows.append((b"", 0, 0, t[f : e + 200].tobytes(), i, i, p))
+    types = (pa.binary(), pa.int64(), pa.int32(), pa.binary(), *(pa.int64(),) * 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lead", "salt", "kind", "body", "t1", "t2", "place"])
+    monkeypatch.setattr(suffix_dedup, "_core_rows", lambda *a: iter(()))  # asks for the task
+
+    def covered():
+        out = set()
+        for b in suffix_dedup._compare(200, 50)(iter([batch])):
+            for row in b.to_pylist():
+                out |= {(row["t1"], p) for p in range(row["s"], row["e"])}
+        return out
+
+    whole = covered()
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 100)
+    assert whole and covered() == whole
+
+
+def test_texts_reach_the_workers_in_small_batches(spark, monkeypatch):
+    seen = []
+    for module in (repeats, suffix_dedup, simhash):
+        monkeypatch.setattr(module, "store", lambda df, what, f=module.store: (seen.append((what, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))), f(df, what))[1])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    r = random.Random(3)
+    rows = [(i, sentence(r, 60), "en", "x", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    suffix_dedup.remove_repeats(simhash.keep_one(docs)).count()
+    sizes = dict(seen)
+    assert all(int(sizes[x]) == 1000 for x in ("simhash-docs", "repeat-texts", "suffix-buckets"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """A passage that most rows share, between different words; many parts, so
