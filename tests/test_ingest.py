@@ -96,3 +96,27 @@ def test_one_call_over_n_runs_equals_n_calls(spark):
     pages(spark, *rows).repartition(4).write.parquet(src)
     streams.start_ingest(spark, src, root, scratch_path(spark, "ckpt")).awaitTermination()
     assert stored(snap.read_snapshot(spark, root)) == got
+
+
+def test_a_failure_is_not_a_result(spark, small_dir, monkeypatch):
+    """A source whose rows could not be written: no query, table or stream
+    passes what is left for the whole."""
+    import pytest
+    from __spark_entry__ import queries
+
+    from jobgrid.plans import ingest
+
+    def full(df, name="step"):
+        if "naukri" in name:
+            raise OSError("no space left on device")
+        return cut_lineage(df, name)
+
+    monkeypatch.setattr(ingest, "cut_lineage", full)
+    for key in ("keyed_ingest_by_run", "ingest_run_by_run", "ingest_run"):
+        with pytest.raises(RuntimeError, match="no space left"):
+            queries()[key](spark, small_dir)
+    table = ingest.listing_table(spark, scratch_path(spark, "keyed"))
+    landing = pages(spark, ("r1", "Naukri", 1, 200, naukri(("a", "A", "u1"))), ("r1", "LinkedIn", 1, 200, linkedin(("b", "B", "u2"))))
+    with pytest.raises(RuntimeError, match="no space left"):
+        ingest.ingest_into(table, landing, source_config(spark))
+    assert table.version() == 0
