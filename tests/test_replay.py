@@ -116,3 +116,25 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = dict(map(tuple, components(spark.createDataFrame(links, "x long, y long")).collect()))
     assert got == {n: find(n) for a, b in links if a != b for n in (a, b)}
+
+
+def test_records_are_shuffled_once_to_be_settled(spark):
+    from jobgrid.plans import replay as R
+
+    got = R._keyed(empty_listings(spark)).withColumns({"run_no": F.lit(0), "src_no": F.lit(0)})
+    kept = R.with_settled(got, got.limit(0)).filter("NOT _settled")
+    plan = kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+    assert plan.count("WindowGroupLimit") == 2  # cut before the shuffle, and after
+
+
+def test_a_row_is_looked_for_by_its_link_only_if_another_may_have_it():
+    from jobgrid.plans.replay import Component
+
+    cols = ["job_id", "title", "company", "job_url", "source"]
+    rules = [("A", ["job_url"], cols[1:]), ("B", ["title", "company"], cols[1:])]
+    c = Component(cols, rules, {}, 2)
+    c.apply(0, {"A": [(["1", "t", "c", "u", "A"], (1,), "t @ c", True), (["2", "x", "c", "v", "A"], (2,), "x @ c", False)]})
+    assert not any("u" in e for e in c.keys) and any("v" in e for e in c.keys)
+    c.apply(1, {"A": [(["3", "y", "c", "v", "A"], (3,), "y @ c", False)], "B": [(["4", "t", "c", "w", "B"], (4,), "t @ c", True)]})
+    assert sorted(c.finish()) == [["1", "t", "c", "w", "B"], ["2", "y", "c", "v", "A"]]
