@@ -120,3 +120,24 @@ def test_a_failure_is_not_a_result(spark, small_dir, monkeypatch):
     with pytest.raises(RuntimeError, match="no space left"):
         ingest.ingest_into(table, landing, source_config(spark))
     assert table.version() == 0
+
+
+def test_a_batch_reads_the_pages_of_one_source_only(spark):
+    """Each source's step of a stream reads its own files, and only files of
+    the batch; the folder's name holds a blank and a percent sign."""
+    src = scratch_path(spark, "landed at 100%")
+    rows = [(f"r{i}", s, 1, 200, "") for i in range(4) for s in ("Naukri", "LinkedIn")]
+    pages(spark, *rows).write.partitionBy("source").parquet(src)
+    got = []
+
+    def run(batch, _):
+        of = streams.pages_of(batch, src).filter("source = 'Naukri'")
+        got.append((sorted(r.run_id for r in of.collect()), of._jdf.queryExecution().executedPlan().toString()))
+
+    for extra in ((), (("r9", "Naukri", 1, 200, ""),)):
+        if extra:
+            pages(spark, *extra).write.mode("append").partitionBy("source").parquet(src)
+        read = spark.readStream.schema(LANDING_SCHEMA).parquet(src).selectExpr("*", "_metadata.file_path AS _file")
+        read.writeStream.foreachBatch(run).option("checkpointLocation", src + "-ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert [x for x, _ in got] == [["r0", "r1", "r2", "r3"], ["r9"]]
+    assert all("FileScan parquet" in plan and "(source#" in plan.split("PartitionFilters")[1] for _, plan in got)
